@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, linededup, mixing, simhash
+from tidemark.llm import decontaminate, langid, linededup, mixing, mpeg, simhash
 from tidemark.llm.sql import DECONTAMINATE_SQL, LINE_RUNS_SQL
 
 QUERIES: dict = {}
@@ -79,3 +79,27 @@ def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query()
+def op6_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = mpeg.media_table(documents(spark, sf_dir))
+    p = "probe."
+    read = stored.select("doc_id", "media", mpeg.probe(F.col("media")).alias("probe"))
+    feature = F.concat_ws(
+        ";",
+        F.lit("mp3"),
+        *[F.concat(F.lit(f"{name}="), F.col(p + name).cast("string")) for name in ("frames", "samples", "sample_rate", "vbr_frames", "crc_checked", "crc_errors", "resyncs")],
+        F.concat(F.lit("last_frame="), F.element_at(F.col(p + "seek_offsets"), -1).cast("string")),
+    )
+    return read.select(
+        "doc_id",
+        F.col(p + "tags")["text-bytes"].cast("long").alias("n_bytes"),
+        F.octet_length(p + "payload").cast("long").alias("payload_bytes"),
+        F.sha2(p + "payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring(p + "payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+        F.col(p + "duration_s").alias("duration_s"),
+    )
