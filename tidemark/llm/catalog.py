@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, linededup, mixing, mpeg, simhash
-from tidemark.llm.sql import DECONTAMINATE_SQL, LINE_RUNS_SQL
+from tidemark.llm import decontaminate, langid, linededup, mixing, mpeg, simhash, warc
+from tidemark.llm.scratch import new_path
+from tidemark.llm.sql import DECONTAMINATE_SQL, LINE_RUNS_SQL, WARC_SQL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,10 @@ def op6_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         feature.alias("feature"),
         F.col(p + "duration_s").alias("duration_s"),
     )
+
+
+@query(WARC_SQL)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.resolve_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path, roll_bytes=16 << 20)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -48,3 +48,11 @@ WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
 SELECT c.doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted, coalesce(deleted, '') AS deleted, sha256(coalesce(t, '')) AS text_sha256
 FROM cut c LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
+"""
