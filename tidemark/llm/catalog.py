@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, linededup, mixing, mpeg, simhash, warc
+from tidemark.llm import decontaminate, langid, licenses, linededup, mixing, mpeg, pii, simhash, urls, warc
+from tidemark.llm.licenses import dice_sql
 from tidemark.llm.scratch import new_path
 from tidemark.llm.sql import DECONTAMINATE_SQL, LINE_RUNS_SQL, WARC_SQL
 
@@ -111,3 +112,32 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write(warc.resolve_revisits(spark.read.parquet(f"{sf_dir}/pages.parquet")), path, roll_bytes=16 << 20)
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(dice_sql())
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licences(documents(spark, sf_dir).select("doc_id", "text"))
+    hits = F.col("licence_matches")
+    return found.select(
+        "doc_id",
+        F.size(hits).cast("long").alias("n_matches"),
+        F.coalesce(F.array_max(hits["dice"]), F.lit(0.0)).alias("best_dice"),
+        F.array_join(F.array_sort(F.array_distinct(hits["license"])), ",").alias("licenses"),
+    )
+
+
+@query()
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    found = urls.filter_urls(pages, pages.join(bad, "page_id").select("url", "bad"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined", " ").alias("mined"))
+
+
+@query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
