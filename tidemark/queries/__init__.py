@@ -2,27 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None, name: str | None = None):
-    """Add a function (spark, sf_dir) -> DataFrame under its own or the given name."""
-
-    def add(f):
-        key = name or f.__name__
-        if key in QUERIES:
-            raise ValueError(f"query {key} is registered twice")
-        QUERIES[key] = f
-        if sql is not None:
-            ORACLES[key] = sql
-        return f
-
-    return add
-
-
-from tidemark.queries import relational  # noqa: E402,F401
+from tidemark.queries import analytics, incremental, relational, services  # noqa: F401
+from tidemark.queries.registry import ORACLES, QUERIES  # noqa: F401
