@@ -71,9 +71,11 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/{version}")
 
     def rollback(self) -> DataFrame:
-        """Make the version before the current one current again, with its cursors."""
+        """Make the version before the current one current again, with its cursors, and delete the other."""
         state = self._state()
         if len(state["versions"]) < 2:
             raise ValueError(f"{self.path} has no earlier version")
         self._commit({"versions": state["versions"][:-1], "cursors": state["previous"][-1], "previous": state["previous"][:-1]})
+        fs, where = self._fs(f"{self.path}/{state['versions'][-1]}")
+        fs.delete(where, True)
         return self.read()
