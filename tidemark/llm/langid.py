@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 1 << 16
-ORDERS = (1, 2, 3, 4)
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
+ORDERS = (2, 3, 4)
 BLOCK = 1 << 18
 UNKNOWN = "und"
 _LETTERS = bytes(b | 0x20 if 65 <= b <= 90 else b if b >= 0x80 or 97 <= b <= 122 else 0x20 for b in range(256))
@@ -47,15 +48,21 @@ def codes(text: str) -> Iterator[np.ndarray]:
     data = b" " + b" ".join(data.split()) + b" "
     for at in range(0, len(data), BLOCK):
         block = np.frombuffer(data[at : at + BLOCK + max(ORDERS) - 1], np.uint8).astype(np.uint32)
-        gram = np.zeros(len(block), np.uint32)
-        for n in range(1, max(ORDERS) + 1):
+        gram, out = block.copy(), []
+        for n in range(2, max(ORDERS) + 1):
             size = min(len(data) - n + 1 - at, BLOCK)
             if size <= 0:
                 break
-            gram = (gram[:size] * np.uint32(0x01000193)) ^ (block[n - 1 : n - 1 + size] + np.uint32(n * 257))
+            gram = gram[:size]
+            gram *= np.uint32(0x01000193)
+            gram ^= block[n - 1 : n - 1 + size]
             if n in ORDERS:
-                mixed = gram * np.uint32(0x9E3779B1)
-                yield (mixed >> np.uint32(16)).astype(np.int64) % BUCKETS
+                mixed = gram + np.uint32(n)
+                mixed *= np.uint32(0x9E3779B1)
+                mixed >>= np.uint32(32 - BUCKET_BITS)
+                out.append(mixed)
+        if out:
+            yield np.concatenate(out).astype(np.intp)
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -78,7 +85,7 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Codewords (languages x bits), log-odds (buckets x bits), the mean margin of each bit and its weight."""
+    """Codewords (languages x bits), log-odds (buckets x bits, padded with zeros), the mean margin of each bit and its weight."""
 
     langs: tuple[str, ...]
     code: np.ndarray
@@ -87,9 +94,10 @@ class Model:
     weight: np.ndarray
 
     def margins(self, text: str) -> np.ndarray:
-        total, n = np.zeros(self.odds.shape[1]), 0
+        bits = len(self.scale)
+        total, n = np.zeros(bits), 0
         for block in codes(text):
-            total += self.odds.take(block, axis=0).sum(axis=0, dtype=np.float64)
+            total += (np.ones(len(block), np.float32) @ self.odds.take(block, axis=0))[:bits]
             n += len(block)
         return total / max(n, 1) / self.scale
 
@@ -149,7 +157,8 @@ def train(rows: DataFrame, max_docs_per_lang: int = 4000, max_langs: int = 256,
     own = (shares @ odds) * code
     scale = np.maximum(np.abs(own).mean(axis=0), 1e-6)
     weight = np.clip(own.min(axis=0) / scale, 0.05, 1.0)
-    return Model(langs, code, odds, scale, weight)
+    padded = np.hstack([odds, np.zeros((BUCKETS, -odds.shape[1] % 8), np.float32)])  # rows of 32 bytes are gathered faster
+    return Model(langs, code, padded, scale, weight)
 
 
 def predict(text: Column, model: Model, ambiguous_below: float = 0.5) -> Column:
