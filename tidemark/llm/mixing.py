@@ -23,12 +23,13 @@ from tidemark.llm.scratch import written
 
 LEVELS = ("domain", "lang", "source")
 SPACE = r"[\x20\x09-\x0D]+"
+SOLID = r"[^\x20\x09-\x0D]"
 
 
 def word_count(text: Column) -> Column:
     """Runs of anything but ASCII white space; 0 for null."""
-    plain = F.trim(F.regexp_replace(text, SPACE, " "))
-    return F.when(F.coalesce(plain, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(plain, " "))).cast("long")
+    ends = F.when(text.rlike("^" + SPACE), 1).otherwise(0) + F.when(F.substring(text, -1, 1).rlike(SPACE), 1).otherwise(0)
+    return F.when(F.coalesce(text.rlike(SOLID), F.lit(False)), F.size(F.split(text, SPACE)) - ends).otherwise(0).cast("long")
 
 
 def _share_out(nodes: DataFrame, parents: list[str], child: str) -> DataFrame:
@@ -92,9 +93,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], t
     ones are replaced.
     """
     name = lambda c: F.coalesce(c, F.lit(""))
-    rows = docs.withColumn("domain", domain).withColumn("tokens", word_count(F.col(text_col))).filter("tokens > 0")
+    # texts are cut into words once for the plan, and again only if ``tokens`` is asked for
+    rows = docs.withColumn("domain", domain).withColumn("tokens", word_count(F.col(text_col))).filter(F.col(text_col).rlike(SOLID))
     rows = rows.withColumns({"_domain": name(F.col("domain")), "_lang": name(F.col("lang")), "_source": name(F.col("source"))})
     small = rows.select(F.col(id_col).alias("_id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), "tokens")
+    small = written(small, "mix-tokens")
     leaves = small.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, weights, total, max_epochs)
     plan = written(plan.select(*LEVELS, F.expr("cast(budget div tokens as int)").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest")), "mix")
