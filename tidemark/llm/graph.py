@@ -26,8 +26,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """The smallest node that each linked node reaches: columns node, component.
 
-    ``links`` has two integer columns, u and v; self-links and nulls are ignored
-    and a node without a link is not returned.  Each round joins the links with
+    ``links`` has two integer columns, u and v; self-links and nulls are ignored.
+    Nodes without a link, and the smallest node of a component itself, are not
+    returned: they keep their own name.  Each round joins the links with
     one row per node, so a hub's links can be split over tasks, and is written
     to the shared folder; rounds grow with the logarithm of the longest chain.
     """

@@ -85,6 +85,11 @@ class Header:
     protected: bool
     side: int
 
+    @property
+    def kind(self) -> tuple[int, int, int]:
+        """What all frames of a stream have in common."""
+        return self.version, self.layer, self.rate
+
 
 @lru_cache(maxsize=4096)
 def header(word: bytes) -> Header | None:
@@ -161,14 +166,18 @@ def _crc_fits(data: bytes, at: int, h: Header) -> bool | None:
     return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
+def _followed(data: bytes, at: int, h: Header, end: int) -> bool:
+    """Whether the end or a frame of the same kind follows a frame."""
+    after = header(data[at + h.size : at + h.size + 4])
+    return at + h.size == end or (after is not None and after.kind == h.kind)
+
+
 def _next_sync(data: bytes, at: int, end: int) -> int:
     """Where the next believable frame starts, or ``end``."""
     while (at := data.find(b"\xff", at, end)) >= 0:
         h = header(data[at : at + 4])
-        if h and at + h.size <= end and _crc_fits(data, at, h) is not False:
-            after = header(data[at + h.size : at + h.size + 4])
-            if at + h.size == end or after and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate):
-                return at
+        if h and at + h.size <= end and _crc_fits(data, at, h) is not False and _followed(data, at, h, end):
+            return at
         at += 1
     return end
 
@@ -180,13 +189,13 @@ def probe_bytes(data: bytes | None) -> Probe:
         return out
     out.tags, at = _id3(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    first, parts = True, []
+    first, kind, parts = True, None, []
     while at < end:
         h = header(data[at : at + 4])
         inside = h is not None and at + h.size <= end
         fits = _crc_fits(data, at, h) if inside else None
-        # a frame with a wrong checksum is still a frame if another one follows it
-        if not inside or (fits is False and at + h.size != end and header(data[at + h.size : at + h.size + 4]) is None):
+        # a frame is believed for its checksum, for what follows it, or, if it has no checksum, for being like those before
+        if not (inside and (fits or _followed(data, at, h, end) or (fits is None and h.kind == kind))):
             found = _next_sync(data, at + 1, end)
             out.resyncs, out.skipped, at = out.resyncs + 1, out.skipped + found - at, found
             continue
@@ -202,7 +211,7 @@ def probe_bytes(data: bytes | None) -> Probe:
             out.samples += h.samples
             out.rate = h.rate
             parts.append(data[at + 4 + 2 * h.protected + h.side : at + h.size])
-        at += h.size
+        at, kind = at + h.size, h.kind
     body = b"".join(parts)
     out.payload = body[: int(out.tags["payload-bytes"])] if out.tags.get("payload-bytes", "").isdigit() else body
     return out

@@ -103,7 +103,9 @@ def links(fingerprints: DataFrame, pair_limit: int = 256) -> DataFrame:
     larger one are linked through stars over their two-bit deletions (four
     values at most each), which connects exactly the same values.
     """
-    variants = fingerprints.select("fp", F.explode(_segment_variants()).alias("key"))
+    # 64 rows come of one, so small files are dealt to all tasks first
+    parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = fingerprints.repartition(parts, "fp").select("fp", F.explode(_segment_variants()).alias("key"))
     shared = variants.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = written(variants.join(shared, "key").select("key", "fp", "size"), "buckets")
     small = buckets.filter(F.col("size") <= pair_limit).select("key", "fp")
