@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import pytest
 
 import corpus_pipeline
 from tests.conftest import plain
-from tidemark.llm import catalog
+from tests.llm.test_simhash import components, plain_fingerprint
+from tests.llm.test_text_operators import brute, plain_budgets, plain_dedup
+from tidemark.llm import catalog, langid
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,6 +46,40 @@ def test_stages(spark):
     assert {r["doc_id"] for r in last.collect()} <= seen
 
 
+def test_pipeline_against_brute_force(spark):
+    """Every stage done again in plain Python on whole texts; only which language wins is taken from the operator, and its accuracy is tested apart."""
+    docs = catalog.documents(spark, DATA)
+    predicted = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    kept = {r["doc_id"]: (r["text"], predicted[r["doc_id"]], r["source"]) for r in docs.orderBy("doc_id").collect() if any(map(str.isalpha, r["text"] or ""))}
+    gone = plain_dedup([(i, t) for i, (t, _, _) in kept.items()], 50)
+    for i, lines in gone.items():
+        if lines:
+            text = "\n".join(s for at, s in enumerate(kept[i][0].split("\n")) if at not in lines)
+            kept[i] = (text, *kept[i][1:])
+    kept = {i: v for i, v in kept.items() if not gone[i] or v[0].split()}
+    ids = sorted(kept)
+    label = components([plain_fingerprint(kept[i][0]) for i in ids])
+    kept = {i: kept[i] for at, i in enumerate(ids) if label[at] == at}
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    for i in list(kept):
+        n, hit, _ = brute(kept[i][0], items)
+        if hit and 20 * hit >= n:
+            del kept[i]
+    domain = lambda s: list(catalog.MIX_WEIGHTS["domain"])[int(hashlib.md5((s or "").encode()).hexdigest()[:4], 16) % 3]
+    leaves = {}
+    for i, (text, lang, source) in kept.items():
+        if text.split():
+            leaves.setdefault((domain(source), lang, source), []).append((i, len(text.split())))
+    totals = {k: sum(n for _, n in v) for k, v in leaves.items()}
+    budgets = plain_budgets(totals, catalog.MIX_WEIGHTS, sum(totals.values()), 4)
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, DATA).collect()}
+    assert set(got) <= set(kept)
+    assert all(r["text"] == kept[i][0] and r["n_chars"] == len(r["text"]) for i, r in got.items())
+    for leaf, members in leaves.items():
+        used = sum(n * (got[i]["copies"] if i in got else 0) for i, n in members)
+        assert budgets[leaf] - max(n for _, n in members) - 3 <= used <= budgets[leaf] + 3
+
+
 def test_no_documents(spark):
     docs = catalog.documents(spark, DATA).limit(0)
     for _, stage in corpus_pipeline.STAGES:

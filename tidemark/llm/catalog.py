@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, langid, licenses, linededup, mixing, mpeg, pii, simhash, urls, warc
 from tidemark.llm.licenses import dice_sql
 from tidemark.llm.scratch import new_path
-from tidemark.llm.sql import DECONTAMINATE_SQL, LINE_RUNS_SQL, WARC_SQL
+from tidemark.llm.sql import DECONTAMINATE_SQL, LINE_RUNS_SQL, WARC_SQL, mix_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,8 +35,9 @@ def query(sql: str | None = None):
 
 
 def mix_domain():
-    """The domain of a source: a fixed third of all sources each."""
-    return F.element_at(F.array(*map(F.lit, MIX_WEIGHTS["domain"])), (F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 3 + 1).cast("int"))
+    """The domain of a source: by a hash of its name, a third of all sources each."""
+    part = F.conv(F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int")
+    return F.element_at(F.array(*map(F.lit, MIX_WEIGHTS["domain"])), part % 3 + 1)
 
 
 @query()
@@ -45,7 +46,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-@query()
+@query(mix_sql(MIX_WEIGHTS))
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), mix_domain(), MIX_WEIGHTS)
     return mixed.select("doc_id", "domain", "lang", "source", "tokens", "epochs", "copies")

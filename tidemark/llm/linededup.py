@@ -27,9 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import new_path, remove, written
-
-SPACE = r"[\x20\x09-\x0D]+"
-SOLID = r"[^\x20\x09-\x0D]"
+from tidemark.llm.text import SOLID, word_count
 
 
 def _key(*columns: Column) -> Column:
@@ -48,8 +46,7 @@ def _numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("id"), _key(F.col(id_col), F.col(text_col)).alias("doc"), F.split(text_col, "\n").alias("lines"))
     solid = F.filter(F.transform("lines", lambda s, at: F.struct(at.alias("line"), s.alias("s"))), lambda x: x["s"].rlike(SOLID))
     rows = texts.select("id", "doc", F.posexplode(solid).alias("i", "x"))
-    words = F.size(F.split(F.trim(F.regexp_replace("x.s", SPACE, " ")), " ")).cast("long")
-    return rows.select("id", "doc", "i", F.col("x.line").alias("line"), words.alias("words"), _key(F.col("x.s")).alias("content"))
+    return rows.select("id", "doc", "i", F.col("x.line").alias("line"), word_count(F.col("x.s")).alias("words"), _key(F.col("x.s")).alias("content"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

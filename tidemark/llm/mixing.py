@@ -20,16 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import written
+from tidemark.llm.text import SOLID, word_count
 
 LEVELS = ("domain", "lang", "source")
-SPACE = r"[\x20\x09-\x0D]+"
-SOLID = r"[^\x20\x09-\x0D]"
-
-
-def word_count(text: Column) -> Column:
-    """Runs of anything but ASCII white space; 0 for null."""
-    ends = F.when(text.rlike("^" + SPACE), 1).otherwise(0) + F.when(F.substring(text, -1, 1).rlike(SPACE), 1).otherwise(0)
-    return F.when(F.coalesce(text.rlike(SOLID), F.lit(False)), F.size(F.split(text, SPACE)) - ends).otherwise(0).cast("long")
 
 
 def _share_out(nodes: DataFrame, parents: list[str], child: str) -> DataFrame:

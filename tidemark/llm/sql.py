@@ -56,3 +56,33 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest, CASE
        CASE WHEN first < page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d AND n >= 100
 """
+
+
+def mix_sql(weights: dict[str, dict[str, float]], max_epochs: int = 4, seed: int = 42) -> str:
+    """The mixture of op3 with as many tokens as there are: budgets level by level, then prefixes by running sums of whole leaves."""
+    names = list(weights["domain"])
+    domain = " ".join(f"WHEN {at} THEN '{n}'" for at, n in enumerate(names))
+    levels = ("domain", "lang", "source")
+    parts = []
+    for at, level in enumerate(levels):
+        here, above = ", ".join(levels[: at + 1]), levels[:at]
+        by = f"PARTITION BY {', '.join(above)}" if above else ""
+        weight = "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {float(v)}" for k, v in weights.get(level, {}).items()) + " ELSE 1.0 END" if weights.get(level) else "1.0"
+        given = f"g{at - 1}.budget" if at else "(SELECT sum(t) FROM leaf)"
+        join = f"JOIN g{at - 1} USING ({', '.join(above)})" if at else ""
+        parts.append(f"""
+n{at} AS (SELECT n.*, CAST({given} AS BIGINT) AS given, CAST(cap AS DOUBLE) / weight AS ratio FROM (SELECT {here}, CAST(sum(cap) AS BIGINT) AS cap, CAST({weight} AS DOUBLE) AS weight FROM leaf GROUP BY {here}) n {join}),
+u{at} AS (SELECT *, (given - coalesce(sum(cap) OVER ({by} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER ({by} ORDER BY ratio, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM n{at}),
+s{at} AS (SELECT *, max(CASE WHEN ratio > level THEN level END) OVER ({by}) AS share FROM u{at}),
+g{at} AS (SELECT {here}, CAST(least(cap, greatest(CASE WHEN share IS NULL OR ratio <= level THEN cap ELSE floor(weight * share + 1e-6) END, 0)) AS BIGINT) AS budget FROM s{at}),""")
+    return rf"""
+WITH d AS (
+  SELECT doc_id, CASE CAST('0x' || substr(md5(coalesce(source, '')), 1, 4) AS INTEGER) % 3 {domain} END AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         lang AS lang0, source AS source0, len(regexp_extract_all(text, '[^ 	-]+')) AS tokens FROM documents
+), e AS (SELECT * FROM d WHERE tokens > 0
+), leaf AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS t, CAST(sum(tokens) AS BIGINT) * {max_epochs} AS cap FROM e GROUP BY ALL),{"".join(parts)}
+p AS (SELECT e.*, g2.budget // leaf.t AS epochs, g2.budget % leaf.t AS rest FROM e JOIN g2 USING (domain, lang, source) JOIN leaf USING (domain, lang, source)
+), c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || epochs || ':' || doc_id)) AS upto FROM p)
+SELECT doc_id, domain, lang0 AS lang, source0 AS source, CAST(tokens AS BIGINT) AS tokens, CAST(epochs AS INTEGER) AS epochs, CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM c WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+"""
