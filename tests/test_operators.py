@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import evolution, load, partitions, quality, strategies, transform
-from tidemark.operators.tables import VersionedTable
+from tidemark.operators.tables import TableBusyError, VersionedTable
 
 
 def frame(spark, data, schema="k int, v string"):
@@ -115,6 +115,11 @@ def test_versions_switch_and_roll_back(spark, tmp_path, rows):
     for n in range(4):
         t.replace(frame(spark, [(n, "x")]))
     assert len(list((tmp_path / "t").glob("v*"))) == 2
+    (tmp_path / "t/_lock").touch()
+    with pytest.raises(TableBusyError):
+        t.replace(frame(spark, []))
+    t.unlock()
+    t.replace(frame(spark, []))
 
 
 def test_schema_evolution(spark, rows):

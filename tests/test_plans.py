@@ -99,3 +99,26 @@ def test_alerts_fire_once_in_their_cooldown():
     assert m.summary("step_seconds")["count"] == 1
     with pytest.raises(ValueError, match="none of"):
         AlertRule("x", "m", "above", 1)
+
+
+def test_profiles_and_command_line(spark, tmp_path, capsys, monkeypatch):
+    from tidemark.__main__ import main
+    from tidemark.plans import profiles
+
+    monkeypatch.setenv("LEAST", "2")
+    file = tmp_path / "p.toml"
+    file.write_text(f"""[dev.variables]
+least = "${{LEAST}}"
+[dev.connectors.numbers]
+type = "parquet"
+params = {{ path = "{tmp_path}/n" }}
+""")
+    spark.range(5).write.parquet(str(tmp_path / "n"))
+    (tmp_path / "my_steps.py").write_text("from tidemark.plans.pipeline import *\nsteps = [Source('n', connection='numbers'), Load('n', 'n'), Table('big', 'SELECT * FROM n WHERE id >= ${least}')]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert main(["run", "my_steps:steps", "--profile", f"{file}:dev", "--store", str(tmp_path / "store")]) == 0
+    assert spark.table("big").count() == 3
+    assert main(["explain", "my_steps:steps", "--profile", f"{file}:dev", "--var", "least=4"]) == 0
+    assert "id >= 4" in capsys.readouterr().out
+    assert main(["run", "my_steps:steps"]) == 1
+    assert profiles.errors({"x": 1, "connectors": {"c": {"type": "ftp"}}}) == ["unknown section 'x'", "connection 'c' has type 'ftp'"]

@@ -9,12 +9,21 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class TableBusyError(RuntimeError):
+    """Another writer holds the table."""
+
+
 class VersionedTable:
-    """A table at ``path``: read(), replace(), rollback(), cursors()."""
+    """A table at ``path``: read(), replace(), rollback(), cursors().
+
+    A writer holds a lock file while it works; a second one fails at once.  A
+    lock that a killed driver left behind is removed with unlock().
+    """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
@@ -23,6 +32,22 @@ class VersionedTable:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    @contextmanager
+    def _locked(self):
+        fs, lock = self._fs(f"{self.path}/_lock")
+        fs.mkdirs(lock.getParent())
+        if not fs.createNewFile(lock):
+            raise TableBusyError(f"{self.path} is being written by another run")
+        try:
+            yield
+        finally:
+            fs.delete(lock, False)
+
+    def unlock(self) -> None:
+        """Remove the lock of a writer that is known to be dead."""
+        fs, lock = self._fs(f"{self.path}/_lock")
+        fs.delete(lock, False)
+
     def _state(self) -> dict:
         fs, where = self._fs(f"{self.path}/current.json")
         if not fs.exists(where):
@@ -57,6 +82,10 @@ class VersionedTable:
 
         df may read the current version.  Versions beyond the last ``keep`` are deleted after the change.
         """
+        with self._locked():
+            return self._replace(df, cursors, partition_by)
+
+    def _replace(self, df: DataFrame, cursors: dict[str, str] | None, partition_by: list[str] | None) -> DataFrame:
         state = self._state()
         version = f"v{len(state['versions']) and int(state['versions'][-1].split('-')[0][1:]) + 1:06d}-{uuid.uuid4().hex[:8]}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
@@ -72,6 +101,10 @@ class VersionedTable:
 
     def rollback(self) -> DataFrame:
         """Make the version before the current one current again, with its cursors, and delete the other."""
+        with self._locked():
+            return self._rollback()
+
+    def _rollback(self) -> DataFrame:
         state = self._state()
         if len(state["versions"]) < 2:
             raise ValueError(f"{self.path} has no earlier version")

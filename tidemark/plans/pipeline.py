@@ -146,9 +146,16 @@ class Pipeline:
     def compile(self, steps: Sequence) -> list:
         """The steps that would run, variables put in; raises PipelineError with every fault found."""
         over = {**self.profile.get("variables", {}), **self.cli}
-        known = dict(over)
-        out = [self._filled(s, known) for s in flatten(steps, known)]
-        faults = self._faults(out)
+        known, out, faults = dict(over), [], []
+        try:
+            for step in flatten(steps, known):
+                try:
+                    out.append(self._filled(step, known))
+                except variables.VariableError as e:
+                    faults.append(f"{_label(step)}: {e}")
+        except conditions.ConditionError as e:
+            faults.append(str(e))
+        faults += self._faults(out)
         if faults:
             raise PipelineError("; ".join(faults))
         return out
