@@ -209,7 +209,7 @@ class Pipeline:
 
     def explain(self, steps: Sequence) -> str:
         """The compiled steps as JSON, to be kept beside a run."""
-        return json.dumps([{"step": _label(s), **{k: v for k, v in (asdict(s) if not isinstance(s, Call) else {"name": s.name}).items()}} for s in self.compile(steps)], default=str, indent=1)
+        return json.dumps([{"step": _label(s), **({"name": s.name} if isinstance(s, Call) else asdict(s))} for s in self.compile(steps)], default=str, indent=1)
 
     def run(self, steps: Sequence, artifacts: str | None = None) -> Result:
         """Run all steps in order; the first failure stops the run with PipelineError."""
@@ -289,8 +289,10 @@ class Pipeline:
             return self._keep(step.name, transform.apply(target, self.spark.sql(step.query), mode))
         name = f"transform:{step.by}"
         mark = self._table(step.name).cursors().get(name) if self.store else None
-        watermark = datetime.fromisoformat(mark) if mark else transform.high_water(target, step.by).first()[0] if target is not None else None
-        start, end = transform.window(watermark if isinstance(watermark, datetime) or watermark is None else datetime(watermark.year, watermark.month, watermark.day), self.now or datetime.now(), step.lookback)
+        if mark is None and target is not None:
+            high = transform.high_water(target, step.by).first()[0]
+            mark = high.isoformat() if high is not None else None
+        start, end = transform.window(datetime.fromisoformat(mark) if mark else None, self.now or datetime.now(), step.lookback)
         fresh = transform.run_with_range(self.spark, step.query, start, end)
         new = transform.apply(target, fresh, mode, start, end)
         high = transform.high_water(new, step.by).first()[0]
