@@ -50,6 +50,7 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     known = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("_digest"))
     named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     first = known.agg(F.min(named).alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
+    first = written(first, "warc-firsts")  # of repeated payloads only; its size says whether payloads have to move
     out = rows.join(first, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") >= least_bytes), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return out.select(
@@ -97,17 +98,22 @@ def member(data: bytes) -> bytes:
 
 
 def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    at = 0
     for batch in batches:
         none = batch.astype(object).where(batch.notna(), None)
         rows = []
         for r in none.itertuples(index=False):
-            ints = [None if x is None else int(x) for x in (r.page_id, r.refers_to)]
-            data = member(record(ints[0], r.url, bytes(r.payload), r.payload_digest, r.record_type, ints[1], r.refers_url))
-            rows.append((r.part, ints[0], r.payload_digest, at, len(data), data))
-            at += len(data)
-        out = pd.DataFrame(rows, columns=["part", "page_id", "digest", "start", "size", "data"])
-        yield out.astype({"page_id": "Int64"})
+            page_id, refers_to = (None if x is None else int(x) for x in (r.page_id, r.refers_to))
+            rows.append((page_id, r.payload_digest, r.url, member(record(page_id, r.url, bytes(r.payload), r.payload_digest, r.record_type, refers_to, r.refers_url))))
+        yield pd.DataFrame(rows, columns=["page_id", "digest", "url", "data"]).astype({"page_id": "Int64"})
+
+
+def _offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds where each record starts in its partition, and its size."""
+    at = 0
+    for batch in batches:
+        size = batch["data"].map(len)
+        yield batch.assign(start=at + size.cumsum() - size, size=size).astype({"page_id": "Int64"})[["part", "page_id", "start", "size", "data"]]
+        at += int(size.sum())
 
 
 def write(records: DataFrame, path: str, prefix: str = "crawl", roll_bytes: int = 64 << 20) -> dict:
@@ -119,9 +125,13 @@ def write(records: DataFrame, path: str, prefix: str = "crawl", roll_bytes: int
     """
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = records.repartitionByRange(parts, "page_id", "payload_digest").sortWithinPartitions("page_id", "payload_digest", "url")
-    staged_at, temporary = new_path(spark, "warc-records"), f"{path}/_temporary-{prefix}"
-    staged = written(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(_build, "part int, page_id long, digest string, start long, size long, data binary"), "warc-records", staged_at)
+    built_at, staged_at, temporary = new_path(spark, "warc-built"), new_path(spark, "warc-records"), f"{path}/_temporary-{prefix}"
+    # records are compressed before they are sorted, so that payloads never move uncompressed
+    built = records.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "refers_url").mapInPandas(_build, "page_id long, digest string, url string, data binary")
+    built = written(built, "warc-built", built_at)  # sorting by range reads its input twice
+    ordered = built.repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url").withColumn("part", F.spark_partition_id())
+    staged = written(ordered.drop("digest", "url").mapInPandas(_offsets, "part int, page_id long, start long, size long, data binary"), "warc-records", staged_at)
+    remove(spark, built_at)
     sizes = staged.groupBy("part").agg(F.max(F.col("start") + F.col("size")).alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("part", before.alias("before"))  # a row for each partition
@@ -167,15 +177,19 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
         raise RuntimeError(f"{path} could not be committed")
 
 
-def members(data: bytes) -> Iterator[bytes]:
+def members(data: bytes, chunk: int = 8192) -> Iterator[bytes]:
     """The content of each gzip member that is not empty."""
-    while data:
-        z = zlib.decompressobj(31)
-        content = z.decompress(data)
-        if not z.eof:
-            raise ValueError("a gzip member is cut short")
-        data = z.unused_data
-        if content:
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            part = view[at : at + chunk]
+            parts.append(z.decompress(part))
+            at += len(part)
+        at -= len(z.unused_data)
+        if content := b"".join(parts):
             yield content
 
 
