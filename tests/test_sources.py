@@ -184,3 +184,12 @@ def test_functions_keep_their_contract(spark):
         whole(spark.range(1).toDF("a"), by=["a"]).collect()
     assert udfs.infer_schema(lambda pdf: pd.DataFrame({"x": pdf["id"] * 2.0}), spark.range(3)).simpleString() == "struct<x:double>"
     assert "services.shout" in udfs.discover("tidemark.queries")
+
+
+def test_shared_folder_without_a_setting(spark):
+    from types import SimpleNamespace
+
+    from tidemark.sources import shared
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(applicationId="a1"))
+    assert shared.shared_dir(bare) == shared.shared_dir(bare) != shared.shared_dir(spark)
