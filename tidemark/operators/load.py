@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,9 +110,11 @@ def upsert(target: DataFrame | None, source: DataFrame, keys: Sequence[str], ord
         raise LoadError("; ".join(errors))
     one = _single(source, keys, order_by)
     have = {c.lower() for c in source.columns}
-    fresh = conform(one, target).select(F.lit(True).alias("_fresh"), *[F.col(f"`{c}`").alias(f"_s_{c}") for c in target.columns])
-    on = [F.col(f"`{k}`") == F.col(f"`_s_{_named(target, k)}`") for k in keys]
-    joined = target.join(fresh, on, "full_outer")
+    named = [_named(target, k) for k in keys]
+    fresh = conform(one, target)
+    fresh = fresh.select(F.lit(True).alias("_fresh"), _spread(fresh, named).alias("_s_spread"), *[F.col(f"`{c}`").alias(f"_s_{c}") for c in target.columns])
+    on = [F.col(f"`{k}`") == F.col(f"`_s_{k}`") for k in named] + [F.col("_spread") == F.col("_s_spread")]
+    joined = target.withColumn("_spread", _spread(target, named)).join(fresh, on, "full_outer")
     pick = lambda c: F.when(F.col("_fresh"), F.col(f"`_s_{c}`")).otherwise(F.col(f"`{c}`")) if c.lower() in have else F.col(f"`{c}`")
     return joined.select(*[pick(c).alias(c) for c in target.columns])
 
@@ -128,7 +130,23 @@ def delete_insert(target: DataFrame | None, source: DataFrame, keys: Sequence[st
     errors = key_errors(keys, source.schema, target.schema)
     if errors:
         raise LoadError("; ".join(errors))
-    return target.join(source.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns).unionByName(conform(source, target))
+    fresh = conform(source, target)
+    return without_keys(target, fresh, [_named(target, k) for k in keys]).unionByName(fresh)
+
+
+def without_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target's rows whose key is not in the source; those with a null key stay, dealt evenly."""
+    known = source.select(*[F.col(f"`{k}`").alias(f"_s_{k}") for k in keys]).dropna().distinct().withColumn("_s_spread", F.lit(0).cast("long"))
+    on = [F.col(f"`{k}`") == F.col(f"`_s_{k}`") for k in keys] + [F.col("_spread") == F.col("_s_spread")]
+    return target.withColumn("_spread", _spread(target, keys)).join(known, on, "left_anti").drop("_spread")
+
+
+def _spread(df: DataFrame, keys: Sequence[str]) -> Column:
+    """0, or a hash of the row where a key is null: rows that match nothing would else all meet in one task."""
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | F.col(f"`{k}`").isNull()
+    return F.when(missing, F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith("map")])).otherwise(F.lit(0).cast("long"))
 
 
 def upsert_counts(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -82,7 +82,7 @@ def upsert_with(target: DataFrame | None, source: DataFrame, keys: Sequence[str]
         return source
     same = list(keys)
     if conflict == "target_wins":
-        return load.append(target, source.join(target.select(*same).distinct(), same, "left_anti").select(*source.columns))
+        return load.append(target, load.without_keys(source, target, same))
     if conflict == "manual":
         known = target.select(*same, F.struct(*[F.col(c) for c in target.columns if c in source.columns]).alias("_t"))
         now = source.select(*same, F.struct(*[F.col(c) for c in target.columns if c in source.columns]).alias("_s"))
@@ -108,5 +108,5 @@ def apply_changes(target: DataFrame | None, changes: DataFrame, keys: Sequence[s
     if target is None:
         return rows
     rows = rows.select(*[c for c in rows.columns if c in target.columns])
-    kept = target.join(last.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns)
+    kept = load.without_keys(target, last, keys)
     return kept.unionByName(load.conform(rows, target))
