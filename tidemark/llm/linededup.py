@@ -112,12 +112,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Blank lines are never deleted.  Rows equal in id and text are one document
     and get the same text.  Copies are ordered by id (nulls last), then by a
     hash of the text where ids are equal, then by line.  Columns of ``docs``
-    named n_lines or deleted are replaced.
+    named n_lines or deleted are replaced, and ones named _doc, _gone, _lines or
+    _deleted are dropped.
     """
     gone = repeated_lines(docs, id_col, text_col, min_words)
     per_doc = gone.groupBy(F.col("doc").alias("_gone")).agg(F.sort_array(F.collect_list("line")).alias("_deleted"))
-    base = docs.drop("n_lines", "deleted").withColumns({"_doc": _key(F.col(id_col), F.col(text_col)), "_lines": F.split(text_col, "\n")})
+    base = docs.drop("n_lines", "deleted", "_gone", "_deleted").withColumn("_doc", _key(F.col(id_col), F.col(text_col)))
     joined = base.join(per_doc, F.col("_doc") == F.col("_gone"), "left")
+    # the text moves whole and is cut after the join; explode makes its lines a column, so they are cut once for each row
+    joined = joined.withColumn("_lines", F.explode(F.array(F.split(text_col, "\n"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_deleted"))
     text = F.when(F.col("_deleted").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda at: F.element_at("_lines", at + 1)), "\n"))
     out = joined.withColumns(
