@@ -83,10 +83,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], t
     Tokens are words.  A null source, language or domain is the leaf ''.  Texts
     without words cost nothing and are never selected.  Rows with
     one id are taken together or not at all.  Columns of docs named as the new
-    ones are replaced.
+    ones are replaced, and ones named _key, _range, _end or _ and a level are dropped.
     """
     name = lambda c: F.coalesce(c, F.lit(""))
     # texts are cut into words once for the plan, and again only if ``tokens`` is asked for
+    docs = docs.drop("epochs", "copies", "_key", "_range", "_end", *[f"{p}{c}" for c in LEVELS for p in ("_", "_p_")])
     rows = docs.withColumn("domain", domain).withColumn("tokens", word_count(F.col(text_col))).filter(F.col(text_col).rlike(SOLID))
     rows = rows.withColumns({"_domain": name(F.col("domain")), "_lang": name(F.col("lang")), "_source": name(F.col("source"))})
     small = rows.select(F.col(id_col).alias("_id"), F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), "tokens")
@@ -106,12 +107,13 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], t
     cuts = written(plan.join(cuts, list(LEVELS)), "mix-cuts")
     at_cut = small.join(cuts.select(*LEVELS, "cut"), list(LEVELS)).filter("_range = cut._range")
     upto_doc = F.col("cut.before") + F.sum("tokens").over(Window.partitionBy(*LEVELS, "_range").orderBy("_key"))
-    chosen = at_cut.withColumn("upto", upto_doc).filter("upto <= rest").select(*[F.col(c).alias(f"_c_{c}") for c in (*LEVELS, "_key")]).distinct()
+    last = at_cut.withColumn("upto", upto_doc).filter("upto <= rest").groupBy(*LEVELS).agg(F.max("_key").alias("_last"))
+    # a leaf's prefix ends with its last key; keys of earlier ranges sort before the cut range's own digits
+    digits = F.lower(F.lpad(F.hex(F.col("cut._range").cast("long")), 3, "0"))
+    ends = cuts.join(last, list(LEVELS), "left").select(*[F.col(c).alias(f"_p_{c}") for c in LEVELS], "epochs", F.coalesce("_last", digits).alias("_end"))
+    ends = written(ends, "mix-ends")  # a row for each leaf
 
-    cuts = cuts.select(*[F.col(c).alias(f"_p_{c}") for c in LEVELS], F.col("epochs"), "cut")
-    out = rows.drop("epochs", "cut").join(cuts, [F.col(f"_{c}") == F.col(f"_p_{c}") for c in LEVELS])
+    out = rows.join(ends, [F.col(f"_{c}") == F.col(f"_p_{c}") for c in LEVELS])
     out = ordered(out, id_col)
-    out = out.join(chosen, [F.col(f"_{c}") == F.col(f"_c_{c}") for c in LEVELS] + [F.col("_key") == F.col("_c__key")], "left")
-    taken = (F.col("_range") < F.col("cut._range")) | F.col("_c__key").isNotNull()
-    out = out.withColumn("copies", F.col("epochs") + F.when(taken, 1).otherwise(0)).filter("copies > 0")
-    return out.drop("cut", "_key", "_range", "_c__key", *[f"{p}{c}" for c in LEVELS for p in ("_", "_p_", "_c_")])
+    out = out.withColumn("copies", F.col("epochs") + F.when(F.col("_key") <= F.col("_end"), 1).otherwise(0)).filter("copies > 0")
+    return out.drop("_key", "_range", "_end", *[f"{p}{c}" for c in LEVELS for p in ("_", "_p_")])
