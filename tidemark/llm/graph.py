@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import new_path, remove, written
@@ -37,12 +37,14 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", last)
     mark = None
     for _ in range(max_rounds):
-        path = new_path(spark, "links")
-        edges = written(_small_star(_large_star(edges)), "links", path)
+        path, seen = new_path(spark, "links"), Observation()
+        moved = _small_star(_large_star(edges))
+        # the write itself tells whether the links changed
+        moved = moved.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        edges = written(moved, "links", path)
         remove(spark, last)
-        last = path
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        last, now = path, seen.get
+        if now == mark or not now["n"]:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         mark = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -141,10 +141,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows that share an id count as one document, of which one row stays.
     """
-    named = near_duplicates(docs, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = written(named.groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    out = docs.join(kept.select("_kept"), docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return out if kept.filter("_rows > 1").isEmpty() else out.dropDuplicates([id_col])
+    named = near_duplicates(docs, id_col, text_col, **options)
+    named = named.groupBy(F.col(id_col).alias("_id")).agg(F.count_if(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_rows"))
+    named = written(named.filter("_rows <> 1"), "copies")
+    # copies are usually few, so that the texts need not move to find them
+    gone = named.filter("_rows = 0").select("_id")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    return out if named.filter("_rows > 1").isEmpty() else out.dropDuplicates([id_col])
 
 
 def hex_fingerprint(fp: Column) -> Column:
