@@ -122,7 +122,7 @@ def test_line_runs_against_comparison(spark, seed):
 def test_line_runs_odd_rows(spark):
     run = "one two three\nfour five six seven"
     docs = [(1, None), (2, ""), (3, f"x\n{run}"), (3, f"x\n{run}"), (4, f"{run}\n\ny"), (None, run), (5, f"{run}\n{run}")]
-    df = spark.createDataFrame([(d, t, "e") for d, t in docs], "doc_id long, text string, deleted string")
+    df = spark.createDataFrame([(d, t, "e", "g") for d, t in docs], "doc_id long, text string, deleted string, _gone string")
     out = linededup.dedup_lines(df, min_words=7)
     got = sorted(((r["doc_id"], r["text"], r["n_lines"], list(r["deleted"])) for r in out.collect()), key=repr)
     assert got == sorted([(1, None, 0, []), (2, "", 1, []), (3, f"x\n{run}", 3, []), (3, f"x\n{run}", 3, []), (4, "\ny", 4, [0, 1]), (None, "", 2, [0, 1]), (5, "", 4, [0, 1, 2, 3])], key=repr)
@@ -168,7 +168,7 @@ def test_mix_takes_prefixes_of_seeded_epochs(spark):
     rng = random.Random(4)
     data = [(i, " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 30))), rng.choice(["en", "de"]), rng.choice(["a", "a", "a", "b", None]), 0) for i in range(400)]
     data += [(900, None, "en", "a", 0), (901, " ", "en", "a", 0)]
-    docs = spark.createDataFrame(data, DOC).withColumn("tokens", F.lit("clash"))
+    docs = spark.createDataFrame(data, DOC).withColumns({c: F.lit("clash") for c in ("tokens", "copies", "_key", "_p_lang", "cut", "rest")})
     out = mixing.mix(docs, F.lit("d"), {"lang": {"en": 1.0, "de": 4.0}}, total=4000, max_epochs=3, seed=1).collect()
     leaves = {}
     for i, text, lang, source, _ in data:
