@@ -3,7 +3,8 @@
 Records are sorted by page id over the whole table, compressed one by one
 (a gzip member each) and dealt to files by compressed size: the file of a record
 is its offset in the sorted stream of all compressed records, divided by
-``roll_bytes``.  So files do not depend on how Spark partitions the input, and
+``roll_bytes``; offsets come from a sort of sizes alone, and compressed records
+move once, to their file.  So files do not depend on how Spark partitions the input, and
 equal input gives equal archives.
 
 Files are written by Spark's text writer, as raw bytes with a one-byte record
@@ -20,10 +21,11 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import hadoop_path, new_path, remove, written
@@ -103,17 +105,30 @@ def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for r in none.itertuples(index=False):
             page_id, refers_to = (None if x is None else int(x) for x in (r.page_id, r.refers_to))
-            rows.append((page_id, r.payload_digest, r.url, member(record(page_id, r.url, bytes(r.payload), r.payload_digest, r.record_type, refers_to, r.refers_url))))
-        yield pd.DataFrame(rows, columns=["page_id", "digest", "url", "data"]).astype({"page_id": "Int64"})
+            data = member(record(page_id, r.url, bytes(r.payload), r.payload_digest, r.record_type, refers_to, r.refers_url))
+            rows.append((r.row, page_id, r.payload_digest, r.url, len(data), data))
+        yield pd.DataFrame(rows, columns=["row", *ORDER[:-1], "size", "data"]).astype({"page_id": "Int64"})
 
 
-def _offsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds where each record starts in its partition, and its size."""
-    at = 0
-    for batch in batches:
-        size = batch["data"].map(len)
-        yield batch.assign(start=at + size.cumsum() - size, size=size).astype({"page_id": "Int64"})[["part", "page_id", "start", "size", "data"]]
-        at += int(size.sum())
+#: What records are sorted by, nulls first.  Rows that differ in ``row`` alone are the same record.
+ORDER = ("page_id", "digest", "url", "row")
+
+
+def _place(page_id, digest: str, url: str | None, row: int) -> tuple:
+    """A row's place in the order, with nulls first."""
+    none = page_id is None or page_id != page_id
+    return not none, 0 if none else int(page_id), digest, url is not None, url or "", int(row)
+
+
+def _file_of(starts: list[tuple]) -> Callable[..., Column]:
+    """The number of a row's file, from the first row of each file."""
+    places = [_place(*s) for s in starts]
+
+    @F.pandas_udf("int")
+    def file(page_id: pd.Series, digest: pd.Series, url: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(places, _place(*r)) - 1 for r in zip(page_id, digest, url, row, strict=True)], dtype="int32")
+
+    return file
 
 
 def write(records: DataFrame, path: str, prefix: str = "crawl", roll_bytes: int = 64 << 20) -> dict:
@@ -121,34 +136,38 @@ def write(records: DataFrame, path: str, prefix: str = "crawl", roll_bytes: int
 
     A record belongs to the file in which it starts, so a file exceeds
     ``roll_bytes`` by less than one record.  An empty table gives a manifest
-    without files.  Rows are ordered by id (nulls first) and digest.
+    without files.  Rows are ordered by id (nulls first), digest and url.  What
+    the driver handles is a row for each file.
     """
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    built_at, staged_at, temporary = new_path(spark, "warc-built"), new_path(spark, "warc-records"), f"{path}/_temporary-{prefix}"
-    # records are compressed before they are sorted, so that payloads never move uncompressed
-    built = records.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "refers_url").mapInPandas(_build, "page_id long, digest string, url string, data binary")
-    built = written(built, "warc-built", built_at)  # sorting by range reads its input twice
-    ordered = built.repartitionByRange(parts, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url").withColumn("part", F.spark_partition_id())
-    staged = written(ordered.drop("digest", "url").mapInPandas(_offsets, "part int, page_id long, start long, size long, data binary"), "warc-records", staged_at)
-    remove(spark, built_at)
-    sizes = staged.groupBy("part").agg(F.max(F.col("start") + F.col("size")).alias("bytes"))
+    built_at, sizes_at, temporary = new_path(spark, "warc-records"), new_path(spark, "warc-sizes"), f"{path}/_temporary-{prefix}"
+    columns = ("page_id", "url", "payload", "payload_digest", "record_type", "refers_to", "refers_url")
+    built = records.select(F.monotonically_increasing_id().alias("row"), *columns).mapInPandas(_build, "row long, page_id long, digest string, url string, size long, data binary")
+    built = written(built, "warc-records", built_at)
+
+    # offsets in the sorted stream, from sizes alone
+    sizes = built.select(*ORDER, "size").repartitionByRange(parts, *ORDER).withColumn("part", F.spark_partition_id())
+    sizes = written(sizes, "warc-sizes", sizes_at)
+    sums = sizes.groupBy("part").agg(F.sum("size").alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("part", before.alias("before"))  # a row for each partition
-    placed = staged.join(F.broadcast(offsets), "part").withColumn("offset", F.col("before") + F.col("start"))
-    placed = placed.withColumn("file", F.expr(f"cast(offset div {roll_bytes} as int)"))
-    per_file = placed.groupBy("file").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"), F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    files = [r.asDict() for r in per_file.orderBy("file").collect()]  # a row for each file
+    sums = sums.select("part", before.alias("before"))  # a row for each partition
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.withColumn("inside", inside).join(F.broadcast(sums), "part")
+    placed = placed.withColumn("piece", F.expr(f"(before + inside) div {roll_bytes}"))
+    per_file = placed.groupBy("piece").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"), F.min(F.struct(*ORDER)).alias("start"), F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    found = per_file.orderBy("piece").collect()
     remove(spark, temporary)
+    files = [{"name": f"{prefix}-{at:05d}.warc.gz", **{k: r[k] for k in ("records", "bytes", "first", "last")}} for at, r in enumerate(found)]
     if files:
-        lines = placed.repartitionByRange(min(len(files), parts), "file").sortWithinPartitions("file", "offset")
+        file = _file_of([tuple(r["start"]) for r in found])
+        lines = built.withColumn("file", file(*ORDER)).repartitionByRange(min(len(files), parts), "file").sortWithinPartitions("file", *ORDER)
         raw = lines.select("file", F.expr("cast(substring(data, 1, length(data) - 1) as string)").alias("value"))
         raw.write.partitionBy("file").option("lineSep", "\0").text(temporary)
-    for f in files:
-        f["name"] = f"{prefix}-{f['file']:05d}.warc.gz"
-        _rename_only_file(spark, f"{temporary}/file={f['file']}", f"{path}/{f['name']}")
-    remove(spark, temporary)
-    remove(spark, staged_at)
+    for at, f in enumerate(files):
+        _rename_only_file(spark, f"{temporary}/file={at}", f"{path}/{f['name']}")
+    for done in (temporary, built_at, sizes_at):
+        remove(spark, done)
     manifest = {"files": files, "roll_bytes": roll_bytes}
     _put(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
     return manifest
