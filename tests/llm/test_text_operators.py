@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, licenses, linededup, mixing
+from tidemark.llm.text import sampled
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -208,6 +209,13 @@ def test_codes_do_not_depend_on_blocks(text):
         langid.BLOCK = before
 
 
+def test_samples_are_bounded_where_texts_are_copies(spark):
+    copies = spark.range(40_000).withColumn("text", F.lit("one text"))
+    n = lambda share: copies.filter(sampled(F.lit(share), 7, F.col("id"), F.col("text"))).count()
+    assert 320 < n(0.01) < 480
+    assert n(1.0) == 40_000 and n(0.0) == 0 and n(1e-9) == 0
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(10_001, None, "en", "s", 0), (10_002, "", None, "s", 0), (10_003, "12 !?", "xx", "s", 0), (None, "the and of", None, None, None)], DOC)

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.text import sampled
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (2, 3, 4)
@@ -130,21 +132,21 @@ def _odds(counts: np.ndarray, code: np.ndarray, smooth: float) -> np.ndarray:
     return np.array(bits, np.float32).T
 
 
-def train(rows: DataFrame, max_docs_per_lang: int = 4000, max_langs: int = 256, smooth: float = 0.5, seed: int = 7) -> Model:
-    """Fit on columns text and lang.
+def train(rows: DataFrame, max_docs_per_lang: int = 4000, max_langs: int = 256, smooth: float = 0.5, seed: int = 7, id_col: str = "doc_id") -> Model:
+    """Fit on columns text and lang; ids only choose the sample.
 
     Rows with a null or letterless text or a null language are not used.  The
     fit takes a bounded sample: about ``max_docs_per_lang`` whole texts of a
-    language, picked by a hash of text, and the ``max_langs`` most frequent
+    language, picked by a hash of id and text, and the ``max_langs`` most frequent
     languages.  Raises ValueError if there is no usable row.
     """
-    usable = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    usable = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col(id_col).alias("id"), "text", "lang")
     sizes = rows.filter(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not sizes:
         raise ValueError("no labelled text to learn from")
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, max_docs_per_lang / r["count"]))])
-    picked = usable.filter((F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
-    sums = picked.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    picked = usable.filter(sampled(share[F.col("lang")], seed, F.col("id"), F.col("text")))
+    sums = picked.select("text", "lang").mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(sums["lang"].unique()))
     if not langs:
         raise ValueError("no labelled text to learn from")
