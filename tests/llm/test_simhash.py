@@ -93,3 +93,19 @@ def test_whole_table_against_brute_force(spark):
     expected = components([plain_fingerprint(r["text"]) for r in rows])
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert [got[r["doc_id"]] for r in rows] == [rows[i]["doc_id"] for i in expected]
+
+
+def test_null_and_repeated_ids_are_judged_by_their_texts(spark):
+    """Different texts stay though their ids are null or repeated; near copies of such rows go."""
+    data = [(None, "a clean text about rivers"), (None, "another one on mountains here"), (None, "a clean text about rivers"), (4, "words of the fourth"), (4, "something else with that id")]
+    kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted(set(data), key=repr)
+
+
+def test_chain_through_null_id(spark, monkeypatch):
+    """Fingerprints 0, 3 and 15 are a chain whose middle has only a null id."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle=3: text.cast("long"))
+    docs = spark.createDataFrame([(8, "0"), (None, "3"), (9, "15"), (None, "255")], "doc_id long, text string")
+    got = {r["fp"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == {0: 8, 3: 8, 15: 8, 255: None}
+    assert sorted(r["text"] for r in simhash.keep_one(docs).collect()) == ["0", "255"]

@@ -127,25 +127,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp"))
     base = written(base, "fingerprints")
     distinct = written(base.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    near = links(distinct, pair_limit)
-    ends = near.join(distinct.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b")
-    parts = connected_components(ends.select("u", "v"))
-    named = distinct.join(parts, distinct.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = _components(distinct, pair_limit)
     return base.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id names their near-duplicate component.
+def _components(distinct: DataFrame, pair_limit: int) -> DataFrame:
+    """fp, component (its smallest fingerprint) and component_id (its smallest id) of distinct fingerprints with their smallest ids, rep.
+
+    Fingerprints are the nodes, so those of null ids only still join others.
+    """
+    near = links(distinct, pair_limit)
+    parts = connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    named = distinct.join(parts, distinct.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    named = written(named, "named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, pair_limit: int = 256) -> DataFrame:
+    """One row of docs for each near-duplicate component: see :func:`keep_first`."""
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("own"), fingerprint(F.col(text_col), shingle).alias("fp"))
+    base = written(base, "fingerprints")
+    distinct = written(base.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
+    return keep_first(docs, base.join(_components(distinct, pair_limit), "fp"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of docs with the smallest id (nulls last), then hash of the text, of every component.
 
-    Rows that share an id count as one document, of which one row stays.
+    ``named`` has id, own (hash of the text) and component for each row of docs.
+    Rows are judged by their own texts, whether their ids are null or repeated.
     """
-    named = near_duplicates(docs, id_col, text_col, **options)
-    named = named.groupBy(F.col(id_col).alias("_id")).agg(F.count_if(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("_rows"))
-    named = written(named.filter("_rows <> 1"), "copies")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "own")
+    first = named.groupBy("component").agg(F.min(order).alias("first"))
+    rows = named.groupBy("component", "id", "own").agg(F.count("*").alias("_rows")).join(first, "component")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("own") == F.col("first.own"))
+    copies = written(rows.select(F.col("id").alias("_id"), F.col("own").alias("_own"), F.when(stays, F.col("_rows")).otherwise(0).alias("_rows")).filter("_rows <> 1"), "copies")
     # copies are usually few, so that the texts need not move to find them
-    gone = named.filter("_rows = 0").select("_id")
-    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    return out if named.filter("_rows > 1").isEmpty() else out.dropDuplicates([id_col])
+    gone = copies.filter("_rows = 0")
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_own"]), "left_anti")
+    if copies.filter("_rows > 1").isEmpty():
+        return out
+    return out.withColumn("_own", F.xxhash64(text_col)).dropDuplicates([id_col, "_own"]).drop("_own")
 
 
 def hex_fingerprint(fp: Column) -> Column:
