@@ -77,13 +77,19 @@ def append(target: DataFrame | None, source: DataFrame) -> DataFrame:
     return source if target is None else target.unionByName(conform(source, target))
 
 
-def latest(source: DataFrame, keys: Sequence[str], order_by: str) -> DataFrame:
-    """The last row of each key by ``order_by`` (nulls first); rows with a null key all stay."""
+def latest(source: DataFrame, keys: Sequence[str], order_by: str, then: Column | None = None) -> DataFrame:
+    """The last row of each key by ``order_by`` (nulls first); rows with a null key all stay.
+
+    Of rows that tie, the largest by ``then`` wins, then the largest by a hash of
+    all columns, so that the order of rows never matters.
+    """
     keyed = F.lit(True)
     for k in keys:
         keyed = keyed & F.col(k).isNotNull()
     columns = [F.col(c) for c in source.columns]
-    last = source.filter(keyed).groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(F.col(order_by).isNotNull(), F.col(order_by))).alias("_row")).select("_row.*")
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in source.dtypes if "map<" not in kind])
+    order = F.struct(F.col(order_by).isNotNull().alias("known"), F.col(order_by).alias("at"), (F.lit(0) if then is None else then).alias("then"), hashed.alias("hash"))
+    last = source.filter(keyed).groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_row")).select("_row.*")
     return last.unionByName(source.filter(~keyed))
 
 
@@ -141,6 +147,14 @@ def without_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
     return target.withColumn("_spread", _spread(target, keys)).join(known, on, "left_anti").drop("_spread")
 
 
+def with_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The target's rows whose key is in the source."""
+    have = {c.lower(): c for c in source.columns}
+    named = [_named(target, k) for k in keys]
+    known = source.select(*[F.col(f"`{have[k.lower()]}`").cast(target.schema[k].dataType).alias(f"_s_{k}") for k in named]).dropna().distinct()
+    return target.join(known, [F.col(f"`{k}`") == F.col(f"`_s_{k}`") for k in named], "left_semi")
+
+
 def _spread(df: DataFrame, keys: Sequence[str]) -> Column:
     """0, or a hash of the row where a key is null: rows that match nothing would else all meet in one task."""
     missing = F.lit(False)

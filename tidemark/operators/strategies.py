@@ -100,10 +100,11 @@ def apply_changes(target: DataFrame | None, changes: DataFrame, keys: Sequence[s
     """The target after a change stream: the last event of a key decides.
 
     Events are D (delete), U or I (the new row); other values are an error of
-    the source and ignored.  Null keys never match and are inserted.
+    the source and ignored.  Null keys never match and are inserted.  Of events
+    of one key at one time a deletion counts as the last.
     """
     events = changes.filter(F.col(operation).isin("D", "U", "I"))
-    last = load.latest(events, keys, order_by)
+    last = load.latest(events, keys, order_by, then=F.col(operation) == "D")
     rows = last.filter(F.col(operation) != "D").drop(operation)
     if target is None:
         return rows

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,16 +74,19 @@ def run_with_range(spark: SparkSession, query: str, start: datetime, end: dateti
     return spark.sql(text, args={k: v for k, v in values.items() if f":{k}" in text})
 
 
+def in_range(kind: T.DataType, by: str, start: datetime, end: datetime) -> Column:
+    """Whether a time is in [start, end); on a DATE column the range is whole days, both ends included."""
+    if isinstance(kind, T.DateType):
+        return F.col(by).between(F.lit(start.date()), F.lit(end.date()))
+    return (F.col(by) >= F.lit(start).cast(kind)) & (F.col(by) < F.lit(end).cast(kind))
+
+
 def incremental(target: DataFrame | None, fresh: DataFrame, by: str, start: datetime, end: datetime) -> DataFrame:
-    """The target with [start, end) of its time column replaced by the fresh rows of that range.
+    """The target with the range of its time column replaced by the fresh rows of that range: see :func:`in_range`.
 
-    On a DATE column the range is whole days, both ends included.  Rows with a
-    null time are kept in the target and not taken from the fresh rows.
+    Rows with a null time are kept in the target and not taken from the fresh rows.
     """
-    if isinstance(fresh.schema[by].dataType, T.DateType):
-        inside = F.col(by).between(F.lit(start.date()), F.lit(end.date()))
-    else:
-        inside = (F.col(by) >= F.lit(start).cast(fresh.schema[by].dataType)) & (F.col(by) < F.lit(end).cast(fresh.schema[by].dataType))
+    inside = in_range(fresh.schema[by].dataType, by, start, end)
     fresh = fresh.filter(inside)
     if target is None:
         return fresh

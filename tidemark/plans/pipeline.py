@@ -13,7 +13,7 @@ import json
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
-from datetime import datetime
+from datetime import date, datetime
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -24,6 +24,7 @@ from tidemark.operators import load, strategies, transform
 from tidemark.operators.tables import VersionedTable
 from tidemark.plans import conditions, variables
 from tidemark.sources import registry
+from tidemark.sources.shared import new_path, remove
 
 
 class PipelineError(RuntimeError):
@@ -267,36 +268,80 @@ class Pipeline:
         source = self.sources[step.source]
         kind, layers = self._options(source)
         rows = registry.read(self.spark, kind, *layers)
-        options, cursors = registry.merged(kind, *layers), None
-        if options.get("sync_mode") == "incremental":
-            column, name = options["cursor_field"], f"source:{step.source}:{options['cursor_field']}"
-            before = self._table(step.table).cursors().get(name) if self.store else None
-            rows = registry.after_cursor(rows, column, before)
+        options = registry.merged(kind, *layers)
+        column = options["cursor_field"] if options.get("sync_mode") == "incremental" else None
+        if not self.store:
+            if column:
+                rows = registry.after_cursor(rows, column, None)
+            target, mode = self._current(step.table), step.mode.upper()
+            new = load.upsert(target, rows, step.keys, step.order_by) if mode == "UPSERT" else load.append(target, rows) if mode == "APPEND" else rows
+            return self._keep(step.table, new)
+        with self._table(step.table).writing() as table:
+            if not column:
+                return self._view(step.table, _store(table, rows, step))
+            name = f"source:{step.source}:{column}"
+            before = table.cursors().get(name)
+            # the source is asked once; rows that reach it later are of the next run, whatever happens to this one
+            copy = new_path(self.spark, "increment")
+            registry.after_cursor(rows, column, before).write.parquet(copy)
+            rows = self.spark.read.schema(rows.schema).parquet(copy)
             mark = registry.next_cursor(rows, column, before)
-            cursors = {name: mark} if mark is not None else None
-        target = self._current(step.table)
-        mode = step.mode.upper()
-        if mode == "UPSERT":
-            new = load.upsert(target, rows, step.keys, step.order_by)
-        else:
-            new = load.append(target, rows) if mode == "APPEND" else rows
-        return self._keep(step.table, new, cursors)
+            made = _store(table, rows, step, {name: mark} if mark is not None else None)
+            remove(self.spark, copy)
+            return self._view(step.table, made)
+
+    def _view(self, name: str, df: DataFrame) -> DataFrame:
+        df.createOrReplaceTempView(check_name(name))
+        return df
 
     def _transform(self, step: Table) -> DataFrame:
         mode = transform.Mode(step.mode, step.by, tuple(step.keys), step.lookback)
+        if self.store:
+            with self._table(step.name).writing() as table:
+                return self._view(step.name, self._stored_transform(step, mode, table))
         target = self._current(step.name)
         if mode.name != "INCREMENTAL":
             return self._keep(step.name, transform.apply(target, self.spark.sql(step.query), mode))
+        mark = transform.high_water(target, step.by).first()[0] if target is not None else None
+        start, end = transform.window(_time(mark), self.now or datetime.now(), step.lookback)
+        return self._keep(step.name, transform.apply(target, transform.run_with_range(self.spark, step.query, start, end), mode, start, end))
+
+    def _stored_transform(self, step: Table, mode: transform.Mode, table: VersionedTable) -> DataFrame:
+        target = table.read()
+        if mode.name != "INCREMENTAL":
+            rows = self.spark.sql(step.query)
+            if mode.name == "REPLACE" or target is None:
+                return table.replace(rows)
+            return table.append(rows) if mode.name == "APPEND" else table.delete_insert(rows, list(mode.keys))
         name = f"transform:{step.by}"
-        mark = self._table(step.name).cursors().get(name) if self.store else None
+        mark = table.cursors().get(name)
         if mark is None and target is not None:
             high = transform.high_water(target, step.by).first()[0]
             mark = high.isoformat() if high is not None else None
         start, end = transform.window(datetime.fromisoformat(mark) if mark else None, self.now or datetime.now(), step.lookback)
         fresh = transform.run_with_range(self.spark, step.query, start, end)
-        new = transform.apply(target, fresh, mode, start, end)
-        high = transform.high_water(new, step.by).first()[0]
-        return self._keep(step.name, new, {name: high.isoformat()} if high is not None else None)
+
+        def water(written: DataFrame) -> dict[str, str]:
+            high = transform.high_water(written, step.by).first()[0]
+            later = [t for t in (_time(high), datetime.fromisoformat(mark) if mark else None) if t is not None]
+            return {name: (high if high is not None and _time(high) == max(later) else max(later)).isoformat()} if later else {}
+
+        if target is None:
+            return table.replace(transform.apply(None, fresh, mode, start, end), water)
+        touched = transform.in_range(fresh.schema[step.by].dataType, step.by, start, end)
+        return table.rewrite(lambda rows: rows.filter(touched), lambda rows: transform.apply(rows, fresh, mode, start, end), water)
+
+
+def _time(value: date | datetime | None) -> datetime | None:
+    return value if value is None or isinstance(value, datetime) else datetime(value.year, value.month, value.day)
+
+
+def _store(table: VersionedTable, rows: DataFrame, step: Load, cursors: dict[str, str] | None = None) -> DataFrame:
+    """Write a load's rows in its mode, with its cursors."""
+    mode = step.mode.upper()
+    if mode == "UPSERT":
+        return table.upsert(rows, list(step.keys), step.order_by, cursors)
+    return table.append(rows, cursors) if mode == "APPEND" else table.replace(rows, cursors)
 
 
 def load_with_strategy(target: DataFrame | None, source: DataFrame, pattern: strategies.LoadPattern, keys: Sequence[str] = (), time_column: str | None = None) -> tuple[str, DataFrame]:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import load
 from tidemark.operators.tables import VersionedTable
 
 
@@ -20,7 +19,9 @@ def upsert_new_files(spark: SparkSession, folder: str, schema: T.StructType, tab
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        table.replace(load.upsert(table.read(), rows, keys, order_by))
+        kept = rows.persist()
+        table.upsert(kept, list(keys), order_by)
+        kept.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(folder)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
