@@ -70,13 +70,29 @@ def test_archive_round_trip_and_determinism(spark, tmp_path):
         path = f"file://{tmp_path}/{n}"
         manifest = warc.write(warc.resolve_revisits(df.repartition(parts)), path, roll_bytes=700)
         assert len(manifest["files"]) > 1 and sum(f["records"] for f in manifest["files"]) == len(pages)
-        archives.append({p.name: p.read_bytes() for p in Path(tmp_path, str(n)).glob("*.warc.gz")})
+        archives.append({p.name: p.read_bytes() for p in Path(tmp_path, str(n)).glob("*/*.warc.gz")})
         got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(spark, path).collect()), key=repr)
     assert archives[0] == archives[1]
     assert got == sorted([(1, 203, "response", None), (3, 203, "revisit", 1), (6, 203, "revisit", 1), (6, 203, "revisit", 1), (2, 5, "response", None), (4, 5, "response", None), (5, 0, "response", None), (None, 204, "response", None), (7, 120, "response", None)], key=repr)
     whole = b"".join(gzip.decompress(b) for b in archives[0].values())
     assert whole.count(b"WARC/1.1\r\n") == len(pages) and b"http://a/1%20b%0A" in whole
-    assert not [p for p in os.listdir(tmp_path / "0") if p.startswith("_temporary")]
+    assert not list(tmp_path.glob("**/_temporary"))
+
+
+def test_repeated_records_spread_over_files_and_archives_switch_whole(spark, tmp_path):
+    html = random.Random(4).randbytes(300).hex()
+    df = spark.range(40).select(F.lit(7).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit(html).alias("html"))
+    df = df.union(spark.createDataFrame([(n, "v", html + str(n)) for n in (1, 9)], df.schema))
+    path = f"file://{tmp_path}/a"
+    first = warc.write(warc.resolve_revisits(df), path, roll_bytes=2000)
+    sizes = {Path(tmp_path, "a", f["name"]).stat().st_size: f["bytes"] for f in first["files"]}
+    assert len(first["files"]) > 5 and all(a == b < 3000 for a, b in sizes.items())
+    assert warc.read(spark, path).count() == 42 and warc.read(spark, path).filter("page_id = 7 AND record_type = 'response'").count() == 40
+    before = warc.read(spark, path)
+    second = warc.write(warc.resolve_revisits(df.limit(3)), path)
+    assert before.count() == 42 and warc.read(spark, path).count() == 3
+    warc.write(warc.resolve_revisits(df.limit(2)), path)
+    assert sorted(p for p in os.listdir(tmp_path / "a") if "." not in p) == sorted([second["run"], warc._manifest(spark, path)["run"]])
 
 
 def test_empty_archive_and_large_record(spark, tmp_path):

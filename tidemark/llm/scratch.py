@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.sources.shared import new_path
+from tidemark.sources.shared import hadoop_path, new_path, put_text, remove  # noqa: F401
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -17,14 +17,3 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    """The Hadoop file system and path object of a path."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, where = hadoop_path(spark, path)
-    fs.delete(where, True)
