@@ -2,16 +2,26 @@
 
 Base spans come from four strict patterns with their checks (octets of an
 address, the Luhn sum of a card, the digits of a phone number).  High-recall
-generators propose looser, overlapping spans: numbers with any separators, and
-mail addresses with spelled-out or spaced signs.  Gradient-boosted trees score
-them by format and context, learning from candidates of the corpus: one that
-coincides with a base span is positive, another negative, and the checks that
-define base spans are not among the features.  Features are discrete, so the
-training data are counts of at most ``CELLS`` feature combinations; boosting
-runs on that table and its trees become a column expression.  A threshold for
-each generator is the least score at which held-out precision reaches
-``precision``; without ``least_seen`` held-out candidates above it nothing is
-added.
+generators propose looser, overlapping spans: numbers with any separators, mail
+addresses with spelled-out or spaced signs, and long tokens that may be secrets.
+Gradient-boosted trees score them by format and context.
+
+Labels.  Positive are base spans in disguise: as they stand, and written as they
+are not allowed to be (without the plus sign or the country code, with other
+separators, with spelled-out signs), so that what the trees accept is not what
+the strict patterns find anyhow.  Negative are what a strict pattern matches and
+its check refuses, disguised likewise, and numbers glued to letters.  All other
+candidates are unlabelled: they count as negative with the weight ``doubt``, as
+most of them are, though some are what is looked for.  A token is positive if it
+has the format of a key (hexadecimal of usual length, or letters of both cases
+and digits) and is assigned to something, else negative.
+
+Features are discrete, so the training data are counts of feature combinations;
+boosting runs on that table and its trees become a column expression.  Trees are
+fitted on a sample of texts; the threshold of each generator is the least score
+at which the calibrated share of positives reaches ``precision`` over a fifth of
+all texts, which the trees have not seen; without ``least_seen`` of them above it
+nothing is added.
 
 Every step is a DataFrame function over single rows; nothing is shuffled but
 the counts.  Patterns are written with possessive quantifiers, which match the
@@ -29,6 +39,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import sampled
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans with those that only the model finds.
+ALL_KINDS = (*KINDS, "secret")
 
 #: \G lets a match start where the last one ended, inside a run of its first character class.
 BASE = {
@@ -37,12 +49,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A character that any match has, so that other texts skip the pattern.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-][0-9]", "phone": r"\+[0-9]", "mail": "@|(?i:[(\\[]at[)\\]])", "number": r"[0-9][0-9().\x20/-]{3}"}
+#: What any match has, so that other texts skip the pattern.
+NEEDS = {
+    "email": "@",
+    "ip": r"[0-9]\.[0-9]",
+    "card": r"[0-9][0-9\x20-][0-9]",
+    "phone": r"\+[0-9]",
+    "mail": "@|(?i:[(\\[]at[)\\]])",
+    "number": r"[0-9][0-9().\x20/-]{3}",
+    "token": r"[A-Za-z0-9_/+-]{20}",
+}
 
 GENERATORS = {
     "mail": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?+(?:@|(?i:[(\[]at[)\]]))\x20?+[A-Za-z0-9-]++(?:\x20?+(?:\.|(?i:[(\[]dot[)\]]))\x20?+[A-Za-z0-9-]++)*+",
     "number": r"[+(]?+[0-9](?:[().\x20/-]{0,2}+[0-9]){6,}+",
+    "token": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+",
 }
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _CONTEXT = {
@@ -50,10 +71,12 @@ _CONTEXT = {
     2: r"(?i)(?:mail|contact|write|reach)[^\n]{0,12}$",
     3: r"(?i)(?:ssn|card|account|iban|passport|visa)[^0-9\n]{0,12}$",
     4: r"(?i)(?:page|version|order|isbn|issn|no\.|nr\.|vol\.|date)[^0-9\n]{0,12}$",
+    5: r"(?i)(?:token|secret|passw(?:or)?d|pwd|api.?key|auth|credential)[^\n]{0,6}$",
 }
-#: Discrete features and their numbers of values.
-FEATURES = {"generator": 2, "plus": 2, "digits": 6, "dots": 3, "dashes": 2, "spaces": 2, "parens": 2, "context": 5, "at": 3}
-CELLS = math.prod(FEATURES.values())
+_ASSIGNED = "[:=]\\s*[\"'`]?$"
+_KEY_FORMAT = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{24,})$"
+#: Discrete features and their numbers of values; those that a generator has no use for are 0.
+FEATURES = {"generator": 3, "plus": 2, "digits": 6, "groups": 4, "separator": 6, "parens": 2, "check": 3, "context": 6, "at": 3, "dots": 2, "glued": 2, "assigned": 2, "charset": 4}
 
 
 def _empty_spans() -> Column:
@@ -101,35 +124,53 @@ def _valid(kind: str, s: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.lit(True)
 
 
+def _accepted(kind: str, spans: Column) -> Column:
+    return F.filter(spans, lambda s: _valid(kind, s["match"]))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """For each kind, the array of its base spans (start, end, match)."""
-    def valid(kind: str) -> Column:
-        return F.filter(spans_of(text, BASE[kind], NEEDS[kind]), lambda s: _valid(kind, s["match"]))
-
-    return {kind: valid(kind) for kind in KINDS}
-
-
-def _code(text: Column, generator: int, s: Column) -> Column:
-    """The features of a candidate as one number."""
-    m = s["match"]
-    before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-    n = F.length(_digits(m))
-    context = reduce(lambda rest, k: F.when(before.rlike(_CONTEXT[k]), k).otherwise(rest), reversed(_CONTEXT), F.lit(0))
-    dots = F.length(m) - F.length(F.replace(m, F.lit("."), F.lit("")))
-    values = {
-        "generator": F.lit(generator),
-        "plus": F.when(m.startswith("+"), 1).otherwise(0),
-        "digits": F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 16, 3).when(n < 20, 4).otherwise(5),
-        "dots": F.when(dots == 0, 0).when(dots == 3, 2).otherwise(1),
-        "dashes": F.when(m.contains("-"), 1).otherwise(0),
-        "spaces": F.when(m.contains(" "), 1).otherwise(0),
-        "parens": F.when(m.rlike(r"[()]"), 1).otherwise(0),
-        "context": context,
-        "at": F.when(m.contains("@"), 1).when(m.rlike(r"(?i)[(\[]at[)\]]"), 2).otherwise(0),
-    }
+    return {kind: _accepted(kind, spans_of(text, BASE[kind], NEEDS[kind])) for kind in KINDS}
+
+
+def _refused(kind: str, spans: Column) -> Column:
+    """Those of a strict pattern's matches that fail its check; of cards only the sum of 16 to 19 digits counts."""
+    long = (lambda s: F.length(_digits(s["match"])).between(16, 19)) if kind == "card" else (lambda s: F.lit(True))
+    return F.filter(spans, lambda s: long(s) & ~_valid(kind, s["match"]))
+
+
+def _code(text: Column, generator: str, start: Column, end: Column, m: Column) -> Column:
+    """The features of the text m, standing at start to end, as one number."""
+    before = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
+    after = F.substring(text, end + 1, F.lit(1))
+    digits = _digits(m)
+    n = F.length(digits)
+    values = {"generator": F.lit([*GENERATORS].index(generator)), "context": reduce(lambda rest, k: F.when(before.rlike(_CONTEXT[k]), k).otherwise(rest), reversed(_CONTEXT), F.lit(0))}
+    if generator == "mail":
+        values["at"] = F.when(m.contains("@"), 1).when(m.rlike(r"(?i)[(\[]at[)\]]"), 2).otherwise(0)
+        values["dots"] = m.rlike(r"(?i)(?:@|at[)\]]).*(?:\.|[(\[]dot[)\]])").cast("int")
+    elif generator == "number":
+        between = F.array_distinct(F.regexp_extract_all(m, F.lit("[^0-9+()]"), 0))
+        separator = reduce(lambda rest, k: F.when(between[0] == k[1], k[0]).otherwise(rest), enumerate(".-/ ", 1), F.lit(0))
+        groups = F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), 0))
+        values |= {
+            "plus": m.startswith("+").cast("int"),
+            "digits": F.when(n < 9, 0).when(n < 10, 1).when(n < 12, 2).when(n < 16, 3).when(n < 20, 4).otherwise(5),
+            "groups": F.when(groups == 1, 0).when(groups == 2, 1).when(groups == 3, 2).otherwise(3),
+            "separator": F.when(F.size(between) == 0, 0).when(F.size(between) > 1, 5).otherwise(separator),
+            "parens": m.rlike(r"[()]").cast("int"),
+            "check": F.when(m.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), 2).when(n.between(16, 19), F.when(luhn(digits), 1).otherwise(0)).otherwise(0),
+            "glued": (before.rlike("[A-Za-z0-9_@.,/+-]$") | after.rlike("[A-Za-z0-9_@]")).cast("int"),
+        }
+    else:
+        values |= {
+            "digits": F.when(n == 0, 0).when(n < 4, 1).when(n < 8, 2).when(n < 16, 3).when(n < 32, 4).otherwise(5),
+            "assigned": before.rlike(_ASSIGNED).cast("int"),
+            "charset": F.when(m.rlike("^[0-9]+$"), 0).when(n == 0, 1).when(m.rlike("^[0-9a-fA-F]+$"), 2).otherwise(3),
+        }
     code = F.lit(0)
     for name, size in FEATURES.items():
-        code = code * size + values[name]
+        code = code * size + values.get(name, F.lit(0))
     return code.cast("int")
 
 
@@ -141,16 +182,61 @@ def _decode(code: int) -> dict[str, int]:
 
 
 def candidates(text: Column) -> Column:
-    """Proposed spans (start, end, match, generator, code) of both generators; those of different ones may overlap."""
+    """Proposed spans (start, end, match, generator, code) of all generators; those of different ones may overlap."""
 
-    def proposed(g: int, name: str) -> Column:
-        whole = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit(name).alias("generator"), _code(text, g, s).alias("code"))
+    def proposed(name: str) -> Column:
+        whole = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit(name).alias("generator"), _code(text, name, s["start"], s["end"], s["match"]).alias("code"))
         return F.transform(spans_of(text, GENERATORS[name], NEEDS[name]), whole)
 
-    return F.concat(*[proposed(g, name) for g, name in enumerate(GENERATORS)])
+    return F.concat(*map(proposed, GENERATORS))
+
+
+def disguises(m: Column, kind: str) -> Column:
+    """A span of a kind as it stands, and as strict patterns don't take it."""
+    if kind == "email":
+        name, _, host = F.split_part(m, F.lit("@"), F.lit(1)), None, F.split_part(m, F.lit("@"), F.lit(2))
+        spelled = [F.concat(name, F.lit(at), F.regexp_replace(host, r"\.", dot)) for at, dot in ((" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), (" @ ", "."))]
+        return F.array(m, *spelled)
+    if kind == "card":
+        fours = F.regexp_replace(_digits(m), "([0-9]{4})(?=[0-9])", "$1 ")
+        return F.array(m, *[F.translate(fours, " ", sign) for sign in "/."])
+    if kind == "phone":
+        local = F.regexp_replace(m, r"^\+[0-9]+[\x20().-]*", "")
+        local = F.when(m.rlike(r"^\+[0-9]+[\x20.-]*\("), F.concat(F.lit("("), local)).otherwise(local)
+        bare = F.trim(F.regexp_replace(local, "[^0-9]+", " "))
+        return F.filter(F.array(m, F.substring(m, 2, 1 << 20), local, *[F.translate(bare, " ", sign) for sign in "-. "]), lambda v: F.length(_digits(v)) >= 7)
+    return F.array(m)
+
+
+def _labelled(text: Column, base: dict[str, Column], refused: dict[str, Column]) -> Column:
+    """Codes with labels: an array of (code, positive, negative) over all candidates; unlabelled ones have neither."""
+    row = lambda code, y: F.struct(code.alias("code"), (y == 1).cast("int").alias("positive"), (y == 0).cast("int").alias("negative"))
+    known, rows = [(1, base), (0, refused)], []
 
+    def disguised(kind: str, found: Column, y: int) -> Column:
+        generator = "mail" if kind == "email" else "number"
+        return F.flatten(F.transform(found, lambda s: F.transform(disguises(s["match"], kind), lambda v: row(_code(text, generator, s["start"], s["end"], v), F.lit(y)))))
 
-def boost(cells: list[tuple[int, float, float]], rounds: int = 30, rate: float = 0.3, depth: int = 2) -> tuple[float, list]:
+    for y, spans in known:
+        rows += [disguised(kind, found, y) for kind, found in spans.items()]
+    taken = F.concat(*[found for _, spans in known for found in spans.values()])
+
+    def free(name: str) -> Column:
+        found = F.filter(spans_of(text, GENERATORS[name], NEEDS[name]), lambda c: ~F.exists(taken, lambda s: _overlaps(s, c)))
+
+        def label(c: Column) -> Column:
+            before = F.substring(text, F.greatest(c["start"] - 3, F.lit(1)), F.least(c["start"], F.lit(4)))
+            if name == "token":
+                return F.when(c["match"].rlike(_KEY_FORMAT) & before.rlike(_ASSIGNED), 1).otherwise(0)
+            glued = before.rlike("[A-Za-z_]$") | F.substring(text, c["end"] + 1, F.lit(1)).rlike("[A-Za-z_]")
+            return F.when(glued, 0).otherwise(-1) if name == "number" else F.lit(-1)
+
+        return F.transform(found, lambda c: row(_code(text, name, c["start"], c["end"], c["match"]), label(c)))
+
+    return F.concat(*rows, *map(free, GENERATORS))
+
+
+def boost(cells: list[tuple[int, float, float]], rounds: int = 40, rate: float = 0.3, depth: int = 3) -> tuple[float, list]:
     """Gradient boosting (logistic loss) on (code, rows, positive rows): prior log-odds and trees.
 
     A tree is a leaf value or (feature, value, tree if feature <= value, tree if not).
@@ -227,16 +313,24 @@ class Model:
 
 
 def calibrate(prior: float, trees: list, cells: list[tuple[int, float, float]], precision: float, least_seen: int) -> dict[str, float]:
-    """For each generator, the least score whose candidates at or above it are positive often enough."""
+    """For each generator, the least score from which on candidates are positive often enough.
+
+    The share of positives as a function of the score is made monotone first
+    (isotonic regression by pooling neighbours), so that a threshold says what
+    is true of the candidates beside it, not of all above it.
+    """
     out = {}
     for g, name in enumerate(GENERATORS):
-        own = sorted(((score(prior, trees, c), n, pos) for c, n, pos in cells if _decode(c)["generator"] == g), reverse=True)
-        out[name], seen, hits = math.inf, 0.0, 0.0
-        for at, (value, n, pos) in enumerate(own):
-            seen, hits = seen + n, hits + pos
-            last = at + 1 == len(own) or own[at + 1][0] < value
-            if last and seen >= least_seen and hits >= precision * seen:
-                out[name] = value
+        own = sorted((score(prior, trees, c), n, pos) for c, n, pos in cells if _decode(c)["generator"] == g and n > 0)
+        blocks: list[list[float]] = []
+        for value, n, pos in own:
+            blocks.append([value, n, pos])
+            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
+                _, n, pos = blocks.pop()
+                blocks[-1][1:] = [blocks[-1][1] + n, blocks[-1][2] + pos]
+        good = [b for b in blocks if b[2] >= precision * b[1]]
+        # a little lower, as sums of leaves may be added in another order
+        out[name] = good[0][0] - 1e-9 if sum(b[1] for b in good) >= least_seen else math.inf
     return out
 
 
@@ -244,22 +338,26 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 50_000, precision: float = 0.98, least_seen: int = 20, id_col: str = "doc_id", seed: int = 7) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 50_000, precision: float = 0.9, least_seen: int = 20, doubt: float = 0.1, id_col: str = "doc_id", seed: int = 7) -> Model:
     """Learn from about ``max_docs`` whole texts (picked by a hash of id and text); a fifth of all texts sets the thresholds."""
     share = min(1.0, max_docs / max(1, docs.count()))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.filter(sampled(F.lit(share), seed, F.col(id_col), F.col(text_col))).select(text.alias("text"))
     # copies of one text are on one side
-    rows = rows.select((F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("held"), F.concat(*base_spans(F.col("text")).values()).alias("base"), candidates(F.col("text")).alias("proposed"))
-    labelled = rows.select("held", F.explode(F.transform("proposed", lambda c: F.struct(c["code"].alias("code"), F.exists("base", lambda b: _overlaps(b, c)).cast("int").alias("y")))).alias("c"))
-    cells = labelled.groupBy("held", "c.code").agg(F.count("*").alias("n"), F.sum("c.y").alias("pos")).collect()  # at most 2 x CELLS rows
-    learn, held = ([(r["code"], float(r["n"]), float(r["pos"])) for r in cells if r["held"] == side] for side in (False, True))
+    rows = docs.select(text.alias("text"), (F.pmod(F.xxhash64(text), F.lit(5)) == 0).alias("held"), sampled(F.lit(share), seed, F.col(id_col), F.col(text_col)).alias("picked"))
+    rows = rows.filter("held OR picked").withColumns({f"_{k}": spans_of(F.col("text"), BASE[k], NEEDS[k]) for k in KINDS})
+    rows = rows.withColumns({f"_base_{k}": _accepted(k, F.col(f"_{k}")) for k in KINDS} | {f"_refused_{k}": _refused(k, F.col(f"_{k}")) for k in KINDS})
+    base, refused = ({k: F.col(f"_{side}_{k}") for k in KINDS} for side in ("base", "refused"))
+    labelled = rows.select("held", F.explode(_labelled(F.col("text"), base, refused)).alias("c"))
+    counted = labelled.groupBy("held", "c.code").agg(F.count("*").alias("n"), F.sum("c.positive").alias("pos"), F.sum("c.negative").alias("neg"))
+    # a row for each side and combination of features
+    cells = [(r["held"], r["code"], float(r["pos"]), r["pos"] + r["neg"] + doubt * (r["n"] - r["pos"] - r["neg"])) for r in counted.collect()]
+    learn, held = ([(code, weight, pos) for side, code, pos, weight in cells if side == held] for held in (False, True))
     prior, trees = boost(sorted(learn))
     return Model(prior, trees, calibrate(prior, trees, held, precision, least_seen))
 
 
 def find(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with base and spans: arrays of (order, kind, start, end) sorted by kind as in KINDS, then start.
+    """docs with base and spans: arrays of (order, kind, start, end) sorted by kind as in ALL_KINDS, then start.
 
     ``spans`` has all base spans and what the model adds beside them; of added
     spans that overlap, the one that starts first stays.  A null text counts as
@@ -278,8 +376,8 @@ def find(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def named_candidate(c: Column) -> Column:
         n = F.length(_digits(c["match"]))
-        order = F.when(c["generator"] == "mail", 0).when(c["match"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1).when(n >= 16, 2).otherwise(3)
-        return named(c, order, F.element_at(F.array(*map(F.lit, KINDS)), order + 1))
+        order = F.when(c["generator"] == "mail", 0).when(c["generator"] == "token", 4).when(c["match"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1).when(n >= 16, 2).otherwise(3)
+        return named(c, order, F.element_at(F.array(*map(F.lit, ALL_KINDS)), order + 1))
 
     fresh = F.filter("_proposed", lambda c: ~F.exists("base", lambda b: _overlaps(b, c)) & model.accepts(c))
     ordered = F.array_sort(F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), named_candidate(c).alias("span"))))
