@@ -249,3 +249,38 @@ def test_mined_rules_block_and_longer_ones_go(spark):
     assert sorted(tuple(r["tokens"]) for r in rules.collect()) == [("path:win",), ("query:promo",)]
     pages = spark.createDataFrame([(1, "http://new.io/win/9"), (2, "http://new.io/news/9"), (3, "http://new.io/en/win?promo=2")], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, labelled).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_whole_pages_with_planted_labels_against_brute_force(spark):
+    """Every itemset counted in plain Python: rules, the rule named for each page and verdicts are the same."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    planted = (F.col("url").contains("page=2") & (F.col("page_id") % 50 > 0)) | (F.col("url").contains("//m.") & F.col("url").contains("example.org"))
+    labelled = pages.select("url", planted.alias("bad"))
+    rows = [(frozenset(r["tokens"]), r["bad"]) for r in labelled.select(urls.tokens(F.col("url")).alias("tokens"), "bad").collect()]
+    seen = {}
+    for tokens, bad in rows:
+        if bad:
+            for mask in range(1, 1 << len(tokens)):
+                seen[frozenset(t for i, t in enumerate(sorted(tokens)) if mask >> i & 1)] = 0
+    expected = {}
+    for rule in seen:
+        n, k = (sum(rule <= tokens for tokens, bad in rows if bad or every) for every in (True, False))
+        z, p = urls.Z, k / n
+        low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        if low >= 0.8 and k >= 0.002 * len(rows):
+            expected[rule] = p
+    expected = {r: p for r, p in expected.items() if not any(o < r for o in expected)}
+    got = urls.without_longer(urls.mine_rules(labelled.select(urls.tokens(F.col("url")).alias("tokens"), "bad"))).collect()
+    assert expected and {frozenset(r["tokens"]): round(r["confidence"], 9) for r in got} == {r: round(p, 9) for r, p in expected.items()}
+    out = urls.filter_urls(pages, labelled).withColumn("tokens", urls.tokens(F.col("url"))).collect()
+    assert len(out) == len(rows)
+    rules = {f"{name}{start}": verdict for verdict, name, start in urls.HOST_RULES}
+    for r in out:
+        tokens = set(r["tokens"])
+        best = max(((p, sorted(rule)) for rule, p in expected.items() if rule <= tokens), default=None)
+        assert r["mined"] == (best[1] if best else None)
+        host, path = plain_host_path(r["url"])
+        fits = [x for x in rules if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith(x[x.index("/") :])]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits, key=len, default=None))
+        assert r["verdict"] == (rules[max(fits, key=len)] if fits else "block" if best else "allow")
+    assert any(r["verdict"] == "block" and r["rule"] is None for r in out)
