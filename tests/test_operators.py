@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import evolution, load, partitions, quality, strategies, transform
+from tidemark.operators import asof, evolution, load, partitions, quality, strategies, transform
 from tidemark.operators.tables import StaleTableError, TableBusyError, VersionedTable
 
 
@@ -212,3 +212,20 @@ def test_quality_of_empty_and_odd_tables(spark):
     one = v.score(frame(spark, [(1, None, None), (1, "x", None), (3, "y", None)], "k int, v string, at timestamp_ntz")).first()
     assert (one["passed"], one["failed"], one["score"]) == (0, 3, 0.0)
     assert quality.load_passes(0.9, 0) and not quality.load_passes(0.9, 1)
+
+
+def test_partition_suggestions():
+    first = datetime(2024, 1, 1)
+    found = [partitions.suggest(rows, first, first + timedelta(days=span), days, months) for rows, span, days, months in ((99_999, 5, 5, 1), (200_000, 30, 12, 1), (200_000, 200, 52, 7), (200_000, 200, 53, 7), (200_000, 366, 9, 4), (200_000, 5000, 4000, 160))]
+    assert [(f.granularity, f.parts, f.virtual) if f else None for f in found] == [None, ("day", 12, False), ("day", 52, False), ("week", 28, False), ("month", 4, False), ("month", 160, True)]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([None, 1, 2]), st.one_of(st.none(), st.integers(0, 40))), max_size=12), st.lists(st.tuples(st.sampled_from([None, 1, 3]), st.one_of(st.none(), st.integers(0, 40))), max_size=12))
+def test_as_of_join(spark, left, right):
+    at = lambda t: None if t is None else datetime(2024, 1, 1) + timedelta(minutes=t)
+    a = spark.createDataFrame([(i, k, at(t)) for i, (k, t) in enumerate(left)], "i int, k int, t timestamp_ntz")
+    b = spark.createDataFrame([(k, at(t), n) for n, (k, t) in enumerate(right)], "k int, t timestamp_ntz, n int")
+    got = {r["i"]: (r["right"]["t"], r["right"]["n"]) if r["right"] else None for r in asof.as_of(a, b, ["k"], "t", slices=3).collect()}
+    fits = lambda k, t: [(at(u), n) for n, (j, u) in enumerate(right) if k is not None and t is not None and j == k and u is not None and u <= t]
+    assert got == {i: max(fits(k, t), default=None) for i, (k, t) in enumerate(left)}

@@ -30,6 +30,14 @@ def server():
             page = int(q.get("page", ["1"])[0])
             if "values" in self.path:
                 body = {"values": [["id", "name"], ["1", "a"], ["x", "b"], ["3"]]}
+            elif "endless" in self.path:
+                size, total = int(q["per_page"][0]), int(q["since"][0])
+                body = [{"id": n, "who": None} for n in range((page - 1) * size, min(total, page * size))]
+            elif "digest" in self.path and not self.headers.get("Authorization", "").startswith('Digest username="u"'):
+                self.send_response(401)
+                self.send_header("WWW-Authenticate", 'Digest realm="r", nonce="n", qop="auth"')
+                self.end_headers()
+                return
             elif "products" in self.path:
                 body = {"products": [{"id": page}]}
             else:
@@ -55,6 +63,24 @@ def test_rest_pages_are_partitions(spark, server, rows):
     assert rows(df) == [(10 * p + n, f"n{n}") for p in (1, 2, 3) for n in (0, 1)]
 
 
+@pytest.mark.parametrize(("total", "parallel"), [(0, 1), (7, 1), (8, 3), (9, 3), (25, 2)])
+def test_rest_reads_to_the_end(spark, server, rows, total, parallel):
+    options = {"url": f"{server}/endless", "pagination": "page", "page_size": 4, "parallel": parallel, "cursor_param": "since", "cursor_value": total, "schema": "id int"}
+    df = registry.read(spark, "rest", options)
+    assert df.rdd.getNumPartitions() == parallel and rows(df) == sorted(((n,) for n in range(total)), key=repr)
+
+
+def test_rest_authentication(spark, server):
+    options = {"url": f"{server}/digest", "data_path": "data.items", "schema": "id int", "auth_type": "digest", "username": "u", "password": "p"}
+    assert registry.read(spark, "rest", options).count() == 2
+    with pytest.raises(Exception, match="401"):
+        registry.read(spark, "rest", options | {"auth_type": "bearer", "token": "t"}).collect()
+    with pytest.raises(rest.PageError, match="none of basic"):
+        rest.auth_headers({"auth_type": "oauth"})
+    with pytest.raises(rest.PageError, match="pagination"):
+        registry.read(spark, "rest", options | {"pagination": "pages"})
+
+
 def test_rest_says_what_is_missing(spark, server):
     with pytest.raises(Exception, match="no 'rows' on the way"):
         registry.read(spark, "rest", {"url": server, "data_path": "data.rows", "schema": "id int"}).collect()
@@ -182,6 +208,18 @@ def test_functions_keep_their_contract(spark):
         whole(spark.range(1))
     with pytest.raises(Exception, match="returned no columns"):
         whole(spark.range(1).toDF("a"), by=["a"]).collect()
+    @udfs.table_udf(schema="k long, n long, total long")
+    def totals(pdf):
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "n": [len(pdf)], "total": [pdf["v"].sum()]}).astype({"k": "Int64"})
+
+    data = spark.range(40_000).select(F.when(F.col("id") % 7 != 3, F.when(F.col("id") < 25_000, -1).otherwise(F.col("id") % 500)).alias("k"), F.col("id").alias("v"))
+    expected = {tuple(r) for r in data.groupBy("k").agg(F.count("*"), F.sum("v")).collect()}
+    got = [(None if r["k"] is None else int(r["k"]), r["n"], r["total"]) for r in totals(data, by=["k"]).collect()]
+    assert set(got) == expected and len(got) == len(expected)
+    text = data.withColumn("k", F.col("k").cast("string"))
+    named = udfs.table_udf(schema="k string, n long", many=True)(lambda pdf: pdf.groupby("k", dropna=False).size().rename("n").reset_index())
+    assert {(r["k"], r["n"]) for r in named(text, by=["k"]).collect()} == {(None if k is None else str(k), n) for k, n, _ in expected}
+    assert totals(data.limit(0), by=["k"]).count() == 0
     assert udfs.infer_schema(lambda pdf: pd.DataFrame({"x": pdf["id"] * 2.0}), spark.range(3)).simpleString() == "struct<x:double>"
     assert "services.shout" in udfs.discover("tidemark.queries")
 
@@ -191,5 +229,8 @@ def test_shared_folder_without_a_setting(spark):
 
     from tidemark.sources import shared
 
-    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(applicationId="a1"))
-    assert shared.shared_dir(bare) == shared.shared_dir(bare) != shared.shared_dir(spark)
+    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(applicationId="a1", master=master))
+    assert shared.shared_dir(bare("local[4]")) == shared.shared_dir(bare("local")) != shared.shared_dir(spark)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="share"):
+            shared.shared_dir(bare(master))

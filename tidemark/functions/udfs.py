@@ -2,9 +2,10 @@
 
 A scalar function runs with Arrow batches; one that takes and returns pandas
 Series is a pandas UDF.  A table function maps a pandas DataFrame to another:
-``row_local`` ones run batch by batch (mapInPandas) and need no shuffle, grouped
-ones run once for each key (applyInPandas).  A function of a whole table that is
-neither would need the table in one task, so it isn't offered.
+``row_local`` ones run batch by batch and need no shuffle, grouped ones run once
+for each key, or with ``many`` once for many whole groups.  Groups are cut from
+sorted batches, so that small groups share them.  A function of a whole table
+that is neither would need the table in one task, so it isn't offered.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import typing
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,7 @@ class TableUdf:
     schema: T.StructType | str
     required: tuple[str, ...] = ()
     row_local: bool = False
+    many: bool = False
 
     def __call__(self, df: DataFrame, by: list[str] | None = None, **options) -> DataFrame:
         """Apply to a DataFrame: batch by batch if row-local, else once for each group of ``by``."""
@@ -65,10 +68,12 @@ class TableUdf:
             lacking = [c for c in schema.names if c not in out.columns]
             if lacking:
                 raise UdfError(f"{name} returned no columns {', '.join(lacking)}")
-            return out[schema.names]
+            out = out[schema.names]
+            # strings that were joined from several batches are chunked, which Spark's conversion doesn't take
+            return out.astype({c: object for c, kind in out.dtypes.items() if isinstance(kind, pd.StringDtype)})
 
         if by:
-            return df.groupBy(*by).applyInPandas(checked, schema)
+            return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(_groups(checked, list(by), self.many), schema)
         if not self.row_local:
             raise UdfError(f"{name} is not row-local, so it needs columns to group by")
 
@@ -79,6 +84,44 @@ class TableUdf:
         return df.mapInPandas(batches, schema)
 
 
+def _starts(frame: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """Whether each row but the first begins a group; nulls are alike."""
+    out = np.zeros(max(0, len(frame) - 1), bool)
+    for name in by:
+        missing = frame[name].isna().to_numpy()
+        values = frame[name].to_numpy()
+        differs = np.fromiter((a != b for a, b in zip(values[1:], values[:-1])), bool, len(out)) if values.dtype == object else values[1:] != values[:-1]
+        out |= (missing[1:] != missing[:-1]) | (differs & ~missing[1:])
+    return out
+
+
+def _groups(function: Callable[[pd.DataFrame], pd.DataFrame], by: list[str], many: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Run a function over whole groups of sorted batches; the last group of a batch waits for the next one."""
+
+    def whole(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if many:
+            yield function(frame)
+            return
+        at = [0, *(np.flatnonzero(_starts(frame, by)) + 1), len(frame)]
+        yield pd.concat([function(frame.iloc[a:b].reset_index(drop=True)) for a, b in zip(at, at[1:])], ignore_index=True)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[pd.DataFrame] = []
+        for frame in filter(len, frames):
+            if waiting and _starts(pd.concat([waiting[-1].tail(1), frame.head(1)], ignore_index=True), by)[0]:
+                yield from whole(pd.concat(waiting, ignore_index=True))
+                waiting = []
+            starts = np.flatnonzero(_starts(frame, by)) + 1
+            if len(starts):
+                yield from whole(pd.concat([*waiting, frame.iloc[: starts[-1]]], ignore_index=True))
+                waiting, frame = [], frame.iloc[starts[-1] :]
+            waiting.append(frame)
+        if waiting:
+            yield from whole(pd.concat(waiting, ignore_index=True))
+
+    return batches
+
+
 def scalar_udf(function: Callable | None = None, *, name: str | None = None, returns: T.DataType | str | None = None, vectorised: bool = False):
     """Decorator; the return type comes from the annotation (double if there is none)."""
 
@@ -93,14 +136,18 @@ def scalar_udf(function: Callable | None = None, *, name: str | None = None, ret
     return make(function) if function else make
 
 
-def table_udf(*, schema: str | T.StructType, name: str | None = None, required: tuple[str, ...] = (), row_local: bool = False):
-    """Decorator for a function whose first argument is a pandas DataFrame; further arguments need defaults."""
+def table_udf(*, schema: str | T.StructType, name: str | None = None, required: tuple[str, ...] = (), row_local: bool = False, many: bool = False):
+    """Decorator for a function whose first argument is a pandas DataFrame; further arguments need defaults.
+
+    With ``many`` a grouped function gets several whole groups at once, sorted
+    by their keys, and tells them apart itself.
+    """
 
     def make(f: Callable) -> TableUdf:
         params = list(inspect.signature(f).parameters.values())
         if not params or any(p.default is p.empty for p in params[1:]):
             raise UdfError(f"{f.__name__} must take a DataFrame, and further arguments with defaults only")
-        return TableUdf(name or f.__name__, f, schema, tuple(required), row_local)
+        return TableUdf(name or f.__name__, f, schema, tuple(required), row_local, many)
 
     return make
 

@@ -84,7 +84,7 @@ def prune(df: DataFrame, column: str, span: TimeRange) -> DataFrame:
 
 
 def statistics(df: DataFrame, column: str) -> DataFrame:
-    """One row: rows, nulls, first, last, days (distinct) and span_days of a time column."""
+    """One row: rows, nulls, first, last, days and months (distinct) and span_days of a time column."""
     at = F.col(column)
     return df.agg(
         F.count("*").alias("rows"),
@@ -92,19 +92,33 @@ def statistics(df: DataFrame, column: str) -> DataFrame:
         F.min(at).alias("first"),
         F.max(at).alias("last"),
         F.countDistinct(F.to_date(at)).alias("days"),
+        F.countDistinct(F.trunc(F.to_date(at), "month")).alias("months"),
         (F.datediff(F.max(at), F.min(at)) + 1).cast("bigint").alias("span_days"),
     )
 
 
-def suggest(rows: int, first: date | None, last: date | None) -> str | None:
-    """A granularity for a table of so many rows from first to last; 'virtual' beyond 100 partitions, None below 100,000 rows."""
-    if rows < 100_000 or first is None or last is None:
+@dataclass(frozen=True)
+class Suggestion:
+    """A granularity, how many partitions it makes, and whether so many should be virtual."""
+
+    granularity: str
+    parts: int
+    virtual: bool
+
+
+def suggest(rows: int, first: date | None, last: date | None, days: int, months: int, least_rows: int = 100_000) -> Suggestion | None:
+    """How to partition a table by time, from its statistics; None if it has fewer than ``least_rows`` rows.
+
+    Days up to a span of 30 days; up to a year weeks if more than 52 days have
+    rows, else days; months beyond.
+    """
+    if rows < least_rows or first is None or last is None:
         return None
-    days = (last - first).days + 1
-    if days <= 30:
+    span = (last - first).days
+    if span <= 30 or (span <= 365 and days <= 52):
         kind, parts = "day", days
-    elif days <= 365:
-        kind, parts = ("week", days // 7) if days // 7 > 52 or days > 100 else ("day", days)
+    elif span <= 365:
+        kind, parts = "week", span // 7
     else:
-        kind, parts = "month", days // 30
-    return "virtual" if parts > 100 else kind
+        kind, parts = "month", months
+    return Suggestion(kind, parts, parts > 100)

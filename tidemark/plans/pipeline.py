@@ -283,6 +283,8 @@ class Pipeline:
             before = table.cursors().get(name)
             # the source is asked once; rows that reach it later are of the next run, whatever happens to this one
             copy = new_path(self.spark, "increment")
+            if options.get("cursor_param") and before is not None:
+                rows = registry.read(self.spark, kind, *layers, {"cursor_value": before})
             registry.after_cursor(rows, column, before).write.parquet(copy)
             rows = self.spark.read.schema(rows.schema).parquet(copy)
             mark = registry.next_cursor(rows, column, before)

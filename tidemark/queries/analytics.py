@@ -9,7 +9,7 @@ sql_query(
     "orders",
     """WITH firsts AS (SELECT o_custkey, min(date_trunc('month', o_orderdate)) AS cohort FROM orders GROUP BY o_custkey),
        a AS (SELECT f.cohort, 12 * (year(o.o_orderdate) - year(f.cohort)) + month(o.o_orderdate) - month(f.cohort) AS age, count(DISTINCT o.o_custkey) AS customers FROM orders o JOIN firsts f ON o.o_custkey = f.o_custkey GROUP BY 1, 2)
-       SELECT cohort, CAST(age AS BIGINT) AS age, customers FROM a WHERE age <= 6""",
+       SELECT cohort, CAST(age AS BIGINT) AS age, customers, CAST(sum(customers) OVER (PARTITION BY cohort ORDER BY age ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM a""",
 )
 sql_query(
     "rfm",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -275,10 +276,10 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of events as a stream with a watermark, drained to its end."""
     folder = new_path(spark, "events")
-    table(spark, sf_dir, "events").select("ts", "event_type").coalesce(1).write.parquet(folder)
+    table(spark, sf_dir, "events").select("ts", "event_type").write.parquet(folder)
     stream = spark.readStream.schema("ts timestamp, event_type string").parquet(folder)
     counts = streams.windowed_counts(stream, "ts", ["event_type"], "1 hour")
-    out = streams.to_table(spark, counts, f"windows_{abs(hash(folder))}", new_path(spark, "windows"), "complete")
+    out = streams.to_table(spark, counts, f"windows_{uuid.uuid4().hex}", new_path(spark, "windows"), "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "event_type", "n")
 
 

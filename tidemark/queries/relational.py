@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dialect
+from tidemark.operators.asof import as_of
 from tidemark.queries.registry import register, sql_query
 from tidemark.sources.tables import table
 
@@ -87,6 +88,27 @@ sql_query(
 )
 sql_query("join_theta", "supplier nation", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 
+sql_query("join_lateral", "nation customer", "SELECT n.n_name, t.n, t.richest FROM nation n, LATERAL (SELECT count(*) AS n, max(c.c_acctbal) AS richest FROM customer c WHERE c.c_nationkey = n.n_nationkey) t")
+sql_query(
+    "join_interval",
+    "events",
+    """SELECT a.event_id AS error, count(b.event_id) AS before FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts < a.ts AND b.ts >= a.ts - INTERVAL 6 HOURS
+       WHERE a.event_type = 'error' GROUP BY a.event_id""",
+)
+
+
+@register(
+    """WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), c AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+       SELECT e.event_id, c.ts AS click_ts, c.value FROM e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts"""
+)
+def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error with its user's last click at or before it."""
+    events = table(spark, sf_dir, "events")
+    clicks = events.filter("event_type = 'click'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    errors = events.filter("event_type = 'error'").select("event_id", "user_id", "ts")
+    return as_of(errors, clicks, ["user_id"], "ts").select("event_id", F.col("right.ts").alias("click_ts"), F.col("right.value").alias("value"))
+
+
 # Aggregates
 sql_query(
     "agg_basic",

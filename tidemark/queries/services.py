@@ -14,7 +14,7 @@ from tidemark.operators import evolution, partitions, profile, quality
 from tidemark.queries.registry import register
 from tidemark.sources import registry as sources
 from tidemark.sources.shared import new_path
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, views
 
 _HOLED = "SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE c_acctbal END AS balance FROM customer"
 
@@ -78,17 +78,33 @@ def partition_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitions.prune(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", span)
 
 
-@register("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS nulls, min(ts) AS first, max(ts) AS last, count(DISTINCT CAST(ts AS DATE)) AS days, date_diff('day', min(ts), max(ts)) + 1 AS span_days FROM events")
+@register("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS nulls, min(ts) AS first, max(ts) AS last, count(DISTINCT CAST(ts AS DATE)) AS days, count(DISTINCT date_trunc('month', ts)) AS months, date_diff('day', min(ts), max(ts)) + 1 AS span_days FROM events")
 def partition_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partitions.statistics(table(spark, sf_dir, "events"), "ts")
 
 
-@register("SELECT * FROM (VALUES (1000, NULL), (200000, 'day'), (300000, 'week'), (400000, 'month'), (500000, 'virtual')) v(rows, granularity)")
+_SPANS = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, CAST({at} AS DATE) AS day FROM {name} WHERE {where}"
+    for name, at, where in (("orders", "o_orderdate", "o_orderkey % 2 = 0"), ("lineitem", "l_shipdate", "l_shipdate < DATE '1995-06-01'"), ("events", "ts", "true"))
+)
+
+
+@register(
+    f"""WITH d AS ({_SPANS}), s AS (SELECT name, count(*) AS n, CAST(max(day) - min(day) AS BIGINT) AS span, count(DISTINCT day) AS days, count(DISTINCT date_trunc('month', day)) AS months FROM d GROUP BY name),
+        g AS (SELECT *, CASE WHEN n < 1000 THEN NULL WHEN span <= 30 OR span <= 365 AND days <= 52 THEN 'day' WHEN span <= 365 THEN 'week' ELSE 'month' END AS granularity FROM s),
+        p AS (SELECT *, CASE granularity WHEN 'day' THEN days WHEN 'week' THEN span // 7 WHEN 'month' THEN months END AS parts FROM g)
+        SELECT name, granularity, CAST(parts AS BIGINT) AS parts, parts > 100 AS virtual FROM p"""
+)
 def partition_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = {1000: 5, 200_000: 20, 300_000: 200, 400_000: 900, 500_000: 5000}
-    first = datetime(2020, 1, 1)
-    rows = [(n, partitions.suggest(n, first, datetime.fromordinal(first.toordinal() + d))) for n, d in days.items()]
-    return spark.createDataFrame(rows, "rows int, granularity string")
+    """Suggestions from the statistics of three time columns of different spans."""
+    views(spark, sf_dir, "orders", "lineitem", "events")
+    days = spark.sql(_SPANS)
+    out = []
+    for name in ("orders", "lineitem", "events"):
+        s = partitions.statistics(days.filter(F.col("name") == name), "day").first()
+        found = partitions.suggest(s["rows"] - s["nulls"], s["first"], s["last"], s["days"], s["months"], least_rows=1000)
+        out.append((name, *((found.granularity, found.parts, found.virtual) if found else (None, None, None))))
+    return spark.createDataFrame(out, "name string, granularity string, parts long, virtual boolean")
 
 
 @register("SELECT * FROM (VALUES ('added', 'note'), ('narrowed', 'n_name_id'), ('removed', 'n_regionkey'), ('widened', 'n_nationkey')) v(change, column_name)")
@@ -136,9 +152,15 @@ def price_band(pdf: pd.DataFrame, limit: float = 100_000.0) -> pd.DataFrame:
     return pd.DataFrame({"o_orderkey": pdf["o_orderkey"], "band": (pdf["o_totalprice"] > limit).map({True: "high", False: "low"})})
 
 
-@udfs.table_udf(schema="o_custkey long, orders long, spread double", required=("o_custkey", "o_totalprice"))
+@udfs.table_udf(schema="o_custkey long, orders long, spread double", required=("o_custkey", "o_totalprice"), many=True)
 def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"o_custkey": [pdf["o_custkey"].iloc[0]], "orders": [len(pdf)], "spread": [pdf["o_totalprice"].max() - pdf["o_totalprice"].min()]})
+    prices = pdf.groupby("o_custkey")["o_totalprice"]
+    return pd.DataFrame({"orders": prices.size(), "spread": prices.max() - prices.min()}).reset_index()
+
+
+@udfs.table_udf(schema="c_nationkey int, customers long, richest string", required=("c_nationkey", "c_name", "c_acctbal"))
+def richest(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"c_nationkey": [pdf["c_nationkey"].iloc[0]], "customers": [len(pdf)], "richest": [pdf.sort_values(["c_acctbal", "c_name"])["c_name"].iloc[-1]]})
 
 
 @register("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 + l_tax) AS taxed FROM lineitem")
@@ -165,6 +187,11 @@ def udf_table_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), by=["o_custkey"])
 
 
+@register("SELECT c_nationkey, count(*) AS customers, arg_max(c_name, (c_acctbal, c_name)) AS richest FROM customer GROUP BY c_nationkey")
+def udf_table_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return richest(table(spark, sf_dir, "customer").select("c_nationkey", "c_name", "c_acctbal"), by=["c_nationkey"])
+
+
 def _masked_sql(text: str) -> str:
     for kind, pattern in masking.PATTERNS.items():
         text = f"regexp_replace({text}, '{pattern}', '[{kind.upper()}]', 'g')"

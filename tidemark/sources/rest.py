@@ -1,4 +1,10 @@
-"""REST sources as Spark data sources: a partition for each run of pages, read by the tasks themselves."""
+"""REST sources as Spark data sources, read by the tasks themselves.
+
+Without ``pagination`` an endpoint is asked once.  With ``page`` its numbered
+pages are read until one is empty or short; ``parallel`` partitions take every
+k-th page each.  A number of ``pages`` reads just these, a partition each.  With
+``link`` each page names the next.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.sources.resilience import RateLimiter, Retry
 
-DEFAULTS = {"method": "GET", "pages": 1, "page_param": "page", "size_param": "per_page", "page_size": 100, "first_page": 1, "data_path": "", "timeout": 30, "tries": 3, "per_minute": 600}
+DEFAULTS = {"method": "GET", "pagination": "none", "pages": 0, "parallel": 1, "page_param": "page", "size_param": "per_page", "page_size": 100, "first_page": 1, "data_path": "", "timeout": 30, "tries": 3, "per_minute": 600}
 SHOP_DEFAULTS = {"api_version": "2024-01", "limit": 250, "per_minute": 90, "tries": 3, "timeout": 30}
 SHEET_DEFAULTS = {"range": "Sheet1", "has_header": True, "tries": 3, "timeout": 30}
 
@@ -25,8 +31,10 @@ class PageError(RuntimeError):
 
 
 def auth_headers(o: dict) -> dict[str, str]:
-    """Headers of basic, bearer and API-key authentication."""
-    kind = o.get("auth_type")
+    """Headers of basic, bearer and API-key authentication; digest needs the server's challenge first: see fetch()."""
+    kind = o.get("auth_type") or "none"
+    if kind not in ("none", "basic", "bearer", "api_key", "digest"):
+        raise PageError(f"auth_type {kind!r} is none of basic, bearer, api_key, digest")
     if kind == "basic":
         return {"Authorization": "Basic " + base64.b64encode(f"{o['username']}:{o['password']}".encode()).decode()}
     if kind == "bearer":
@@ -42,8 +50,13 @@ def fetch(url: str, o: dict) -> tuple[object, dict[str, str]]:
     def once():
         data = o["body"].encode() if o.get("body") else None
         request = urllib.request.Request(url, data=data, method=o.get("method", "GET"), headers={"Accept": "application/json", **auth_headers(o), **json.loads(o.get("headers") or "{}")})
+        handlers = []
+        if o.get("auth_type") == "digest":
+            passwords = urllib.request.HTTPPasswordMgrWithDefaultRealm()
+            passwords.add_password(None, url, o["username"], o["password"])
+            handlers = [urllib.request.HTTPDigestAuthHandler(passwords)]
         try:
-            with urllib.request.urlopen(request, timeout=float(o["timeout"])) as response:
+            with urllib.request.build_opener(*handlers).open(request, timeout=float(o["timeout"])) as response:
                 return json.load(response), dict(response.headers)
         except urllib.error.HTTPError as e:
             if e.code >= 500 or e.code == 429:
@@ -71,9 +84,17 @@ def dig(row: dict, dotted: str):
     return row
 
 
-class _Page(InputPartition):
-    def __init__(self, page: int):
-        super().__init__(page)
+def with_query(url: str, values: dict) -> str:
+    """A url with more query parameters."""
+    return f"{url}{'&' if '?' in url else '?'}{urllib.parse.urlencode(values)}" if values else url
+
+
+class _Pages(InputPartition):
+    """Pages from ``value`` on, every ``step``-th up to ``last``, or to the end where that is None; no step: one unnumbered request."""
+
+    def __init__(self, value: int, step: int, last: int | None):
+        super().__init__(value)
+        self.step, self.last = step, last
 
 
 class _PagesReader(DataSourceReader):
@@ -81,19 +102,29 @@ class _PagesReader(DataSourceReader):
         self.names, self.options = schema.names, options
 
     def partitions(self):
-        first = int(self.options["first_page"])
-        return [_Page(p) for p in range(first, first + int(self.options["pages"]))]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
         o = self.options
-        query = urllib.parse.urlencode({o["page_param"]: partition.value, o["size_param"]: o["page_size"]})
-        data, _ = fetch(f"{o['url']}{'&' if '?' in o['url'] else '?'}{query}" if int(o["pages"]) > 1 else o["url"], o)
-        for row in rows_at(data, o["data_path"]):
-            yield tuple(dig(row, name) for name in self.names)
+        first, pages, parallel = int(o["first_page"]), int(o["pages"]), int(o["parallel"])
+        if pages:
+            return [_Pages(p, 1, p) for p in range(first, first + pages)]
+        if o["pagination"] == "page":
+            return [_Pages(first + k, parallel, None) for k in range(parallel)]
+        return [_Pages(first, 0, first)]
+
+    def read(self, partition: _Pages) -> Iterator[tuple]:
+        o, page = self.options, partition.value
+        while partition.last is None or page <= partition.last:
+            numbers = {o["page_param"]: page, o["size_param"]: o["page_size"]} if partition.step else {}
+            data, _ = fetch(with_query(o["url"], numbers), o)
+            rows = rows_at(data, o["data_path"])
+            for row in rows:
+                yield tuple(dig(row, name) for name in self.names)
+            if partition.last is None and len(rows) < int(o["page_size"]):
+                return
+            page += partition.step or 1
 
 
 class PagesSource(DataSource):
-    """Numbered pages of a JSON endpoint; each page is a partition, so pages load in parallel."""
+    """Numbered pages of a JSON endpoint, or its only one."""
 
     @classmethod
     def name(cls) -> str:
@@ -145,7 +176,14 @@ def _load(spark: SparkSession, source: type[DataSource], o: dict) -> DataFrame:
 
 
 def read(spark: SparkSession, o: dict) -> DataFrame:
-    """Rows of an endpoint; ``schema`` may use dotted names in backticks for nested values."""
+    """Rows of an endpoint; ``schema`` may use dotted names in backticks for nested values.
+
+    ``cursor_value`` is sent as ``cursor_param`` where both are given.
+    """
+    if o.get("pagination", "none") not in ("none", "page", "link"):
+        raise PageError(f"pagination {o['pagination']!r} is none of none, page, link")
+    if o.get("cursor_param") and o.get("cursor_value") is not None:
+        o = o | {"url": with_query(o["url"], {o["cursor_param"]: o["cursor_value"]})}
     return _load(spark, LinkedPagesSource if o.get("pagination") == "link" else PagesSource, o)
 
 
