@@ -217,7 +217,7 @@ def test_functions_keep_their_contract(spark):
     got = [(None if r["k"] is None else int(r["k"]), r["n"], r["total"]) for r in totals(data, by=["k"]).collect()]
     assert set(got) == expected and len(got) == len(expected)
     text = data.withColumn("k", F.col("k").cast("string"))
-    named = udfs.table_udf(schema="k string, n long", many=True)(lambda pdf: pdf.groupby("k", dropna=False).size().rename("n").reset_index())
+    named = udfs.table_udf(schema="k string, n long")(lambda pdf: pd.DataFrame({"k": [pdf["k"].iloc[0]], "n": [len(pdf)]}))
     assert {(r["k"], r["n"]) for r in named(text, by=["k"]).collect()} == {(None if k is None else str(k), n) for k, n, _ in expected}
     assert totals(data.limit(0), by=["k"]).count() == 0
     assert udfs.infer_schema(lambda pdf: pd.DataFrame({"x": pdf["id"] * 2.0}), spark.range(3)).simpleString() == "struct<x:double>"
