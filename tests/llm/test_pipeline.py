@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tests.conftest import plain
-from tests.llm.test_simhash import components, plain_fingerprint
+from tests.llm.test_neardup import components
 from tests.llm.test_text_operators import brute, plain_budgets, plain_dedup
 from tidemark.llm import catalog, langid
 
@@ -58,7 +58,7 @@ def test_pipeline_against_brute_force(spark):
             kept[i] = (text, *kept[i][1:])
     kept = {i: v for i, v in kept.items() if not gone[i] or v[0].split()}
     ids = sorted(kept)
-    label = components([plain_fingerprint(kept[i][0]) for i in ids])
+    label, _ = components([kept[i][0] for i in ids])
     kept = {i: kept[i] for at, i in enumerate(ids) if label[at] == at}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     for i in list(kept):
