@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import os
 import random
 import re
+import struct
+import zlib
 from pathlib import Path
 
 import pytest
@@ -13,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import mpeg, pii, urls, warc
+from tidemark.llm import catalog, mpeg, pii, urls, warc
 
 
 # MPEG audio
@@ -60,6 +63,58 @@ def test_audio_columns(spark):
     assert got[0][:2] == got[1][:2] == (1, 64) and got[2] == (2, 80_000, round(-(-80_000 // 937) * 1152 / 48000, 3))
 
 
+def test_tables_and_checksums_of_other_kinds():
+    # VBRI: three entries of two bytes, scale 10
+    frame = bytearray(mpeg._SIZES[128])
+    frame[:4] = bytes((0xFF, 0xFB, 0x94, 0xC0))
+    frame[36:68] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 5000, 9, 3, 10, 2, 3) + struct.pack(">HHH", 40, 50, 60)
+    stream = bytes(frame) + bytes((0xFF, 0xFB, 0x94, 0xC0)) + bytes(mpeg._SIZES[128] - 4)
+    p = mpeg.probe_bytes(stream)
+    assert (p.tags, p.table, p.offsets) == ({"vbr": "VBRI", "vbr_bytes": "5000", "vbr_frames": "9"}, [400, 900, 1500], [mpeg._SIZES[128]])
+    media = mpeg.store_bytes(bytes(100_000))
+    q = mpeg.probe_bytes(media)
+    assert len(q.table) == 100 and q.table == sorted(q.table) and q.table[0] <= q.offsets[0] and q.table[-1] <= len(media)
+    # Layer I with a checksum over its allocation: mono, stereo, joint stereo
+    for last, checked in ((0xC0, 16), (0x00, 32), (0x40, 18), (0x70, 24)):
+        word = bytes((0xFF, 0xFE, 0x44, last))
+        h = mpeg.header(word)
+        assert (h.layer, h.checked, h.samples) == (1, checked, 384)
+        body = random.Random(last).randbytes(h.size - 6)
+        one = word + struct.pack(">H", mpeg.crc16(word[2:4] + body[:checked])) + body
+        r = mpeg.probe_bytes(one * 3)
+        assert (len(r.offsets), r.crc_checked, r.crc_errors) == (3, 3, 0)
+        damaged = bytearray(one * 3)
+        damaged[7] ^= 1
+        assert mpeg.probe_bytes(bytes(damaged)).crc_errors == 1
+
+
+def test_whole_table_against_plain_python(spark):
+    """Every column of the query, and of the stored table, from plain arithmetic over all texts; an empty table too."""
+    data = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in catalog.documents(spark, data).collect()}
+    got = catalog.QUERIES["op6_mpeg"](spark, data).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    stored = {r["doc_id"]: r for r in mpeg.media_table(catalog.documents(spark, data)).collect()}
+    for r in got:
+        text, kept = texts[r["doc_id"]], stored[r["doc_id"]]
+        payload = text + bytes(-len(text) % 64 if text else 64)
+        body = 320 * 3 - 23
+        full, rest = divmod(len(payload), body)
+        frames = full + bool(rest)
+        tag = sum(11 + len(f"{name}\0{value}") for name, value in (("payload-bytes", len(payload)), ("text-bytes", len(text)))) + 10
+        offsets = [tag + 384 + 960 * k for k in range(frames)]
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(text), len(payload), zlib.crc32(payload[-64:]))
+        assert (r["payload_sha256"], r["n_offsets"], r["intact"]) == (hashlib.sha256(payload).hexdigest(), frames, True)
+        assert r["duration_s"] == frames * 1152 / 48000
+        assert r["offsets_sha256"] == hashlib.sha256(",".join(map(str, offsets)).encode()).hexdigest() and kept["seek_offsets"] == offsets
+        assert (r["media_bytes"], r["media_sha256"]) == (len(kept["media"]), hashlib.sha256(kept["media"]).hexdigest())
+        assert r["feature"] == f"mp3;frames={frames};samples={1152 * frames};sample_rate=48000;vbr_frames={frames};crc_checked={frames + 1};crc_errors=0;resyncs=0;last_frame={offsets[-1]}"
+        main = b"".join(bytes(kept["media"])[at + 23 : (offsets + [len(kept["media"])])[k + 1]] for k, at in enumerate(offsets))
+        assert main[: len(payload)] == payload and not any(main[len(payload) :])
+    empty = mpeg.media_table(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.count() == 0 and empty.columns == ["doc_id", "media", *mpeg.MEDIA_COLUMNS]
+
+
 # WARC
 def test_archive_round_trip_and_determinism(spark, tmp_path):
     html = "<p>" + "x" * 200

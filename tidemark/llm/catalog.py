@@ -88,7 +88,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = mpeg.media_table(documents(spark, sf_dir))
     p = "probe."
-    read = stored.select("doc_id", "media", mpeg.probe(F.col("media")).alias("probe"))
+    read = stored.withColumn("probe", mpeg.probe(F.col("media")))
     feature = F.concat_ws(
         ";",
         F.lit("mp3"),
@@ -104,7 +104,10 @@ def op6_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
-        F.col(p + "duration_s").alias("duration_s"),
+        "duration_s",
+        F.size("seek_offsets").cast("long").alias("n_offsets"),
+        F.sha2(F.array_join(F.col("seek_offsets").cast("array<string>"), ","), 256).alias("offsets_sha256"),
+        (F.col("crc_errors") == 0).alias("intact"),
     )
 
 

@@ -3,7 +3,12 @@
 ``probe`` parses MPEG-1/2/2.5 audio (any layer): it skips ID3v2 and ID3v1 tags,
 walks frame headers, resynchronises after damage (a header counts only if its
 checksum fits and another header or the end follows where it says), reads
-Xing/Info and VBRI tables and verifies CRC-16 where a Layer III frame has one.
+Xing/Info and VBRI tables with their seek tables and verifies CRC-16 where a
+Layer I or III frame has one (what a Layer II checksum covers depends on its
+allocation tables, which are not read; such frames count as not checked).
+
+``media_table`` stores audio with its columns: exact duration, frames, the byte
+offset of every frame for seeking, tags and the verdict of the checksums.
 
 ``store`` keeps a byte payload losslessly as the main data of MPEG-1 Layer III
 frames (48 kHz, mono, with checksums) behind an ID3v2 tag and a Xing frame with
@@ -17,6 +22,7 @@ from __future__ import annotations
 import struct
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,6 +53,7 @@ PROBE = T.StructType(
         T.StructField("skipped_bytes", T.LongType()),
         T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
         T.StructField("seek_offsets", T.ArrayType(T.LongType())),
+        T.StructField("table_offsets", T.ArrayType(T.LongType())),
         T.StructField("payload", T.BinaryType()),
     ]
 )
@@ -84,6 +91,7 @@ class Header:
     samples: int
     protected: bool
     side: int
+    checked: int | None
 
     @property
     def kind(self) -> tuple[int, int, int]:
@@ -106,7 +114,10 @@ def header(word: bytes) -> Header | None:
     size = (12000 * kbps // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + pad
     mono = word[3] >> 6 == 3
     side = (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return Header(version, layer, kbps, rate, size, samples, not word[1] & 1, side if layer == 3 else 0)
+    # Layer I: four bits of allocation for each channel's subbands; of joint stereo those above the bound are shared
+    bound = 4 * (word[3] >> 4 & 3) + 4 if word[3] >> 6 == 1 else 32
+    allocated = 16 if mono else (32 + bound) // 2
+    return Header(version, layer, kbps, rate, size, samples, not word[1] & 1, side if layer == 3 else 0, {1: allocated, 3: side}.get(layer))
 
 
 def _synchsafe(data: bytes) -> int:
@@ -130,19 +141,21 @@ def _id3(data: bytes) -> tuple[dict[str, str], int]:
     return tags, end
 
 
-def _vbr(frame: bytes, h: Header) -> dict[str, str] | None:
-    """The Xing, Info or VBRI table of a frame, if it is one."""
+def _vbr(frame: bytes, h: Header) -> tuple[dict[str, str], list[int]] | None:
+    """The Xing, Info or VBRI table of a frame, if it is one, with its seek table as bytes from the frame's start."""
     for start in (4 + h.side, 6 + h.side):
         if frame[start : start + 4] in (b"Xing", b"Info"):
             flags, at, out = int.from_bytes(frame[start + 4 : start + 8], "big"), start + 8, {"vbr": frame[start : start + 4].decode()}
             for bit, name in ((1, "vbr_frames"), (2, "vbr_bytes")):
                 if flags & bit:
                     out[name], at = str(int.from_bytes(frame[at : at + 4], "big")), at + 4
-            if flags & 4:
-                out["toc"] = frame[at : at + 100].hex()
-            return out
+            toc = frame[at : at + 100] if flags & 4 and "vbr_bytes" in out else b""
+            return out, [point * int(out["vbr_bytes"]) // 256 for point in toc]
     if frame[36:40] == b"VBRI":
-        return {"vbr": "VBRI", "vbr_bytes": str(int.from_bytes(frame[46:50], "big")), "vbr_frames": str(int.from_bytes(frame[50:54], "big"))}
+        number = lambda a, b: int.from_bytes(frame[a:b], "big")
+        entries, scale, width = number(54, 56), number(56, 58), number(58, 60)
+        steps = [number(62 + width * k, 62 + width * (k + 1)) * scale for k in range(entries)] if 62 + width * entries <= len(frame) else []
+        return {"vbr": "VBRI", "vbr_bytes": str(number(46, 50)), "vbr_frames": str(number(50, 54))}, list(accumulate(steps))
     return None
 
 
@@ -150,6 +163,7 @@ def _vbr(frame: bytes, h: Header) -> dict[str, str] | None:
 class Probe:
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
+    table: list[int] = field(default_factory=list)
     samples: int = 0
     rate: int = 0
     crc_checked: int = 0
@@ -160,10 +174,10 @@ class Probe:
 
 
 def _crc_fits(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether a Layer III frame's checksum fits; None if it has none."""
-    if not h.protected or h.layer != 3:
+    """Whether a Layer I or III frame's checksum fits; None if it has none."""
+    if not h.protected or h.checked is None:
         return None
-    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.checked]) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 def _followed(data: bytes, at: int, h: Header, end: int) -> bool:
@@ -205,7 +219,8 @@ def probe_bytes(data: bytes | None) -> Probe:
         table = _vbr(data[at : at + h.size], h) if first else None
         first = False
         if table:
-            out.tags |= table
+            out.tags |= table[0]
+            out.table = [at + step for step in table[1]]
         else:
             out.offsets.append(at)
             out.samples += h.samples
@@ -277,17 +292,23 @@ def probe(media: Column) -> Column:
         for v in values:
             p = probe_bytes(bytes(v) if v is not None else None)
             declared = p.tags.get("vbr_frames", "")
-            rows.append((len(p.offsets), p.samples, p.rate, p.samples / p.rate if p.rate else 0.0, int(declared) if declared.isdigit() else None, p.crc_checked, p.crc_errors, p.resyncs, p.skipped, p.tags, p.offsets, p.payload))
+            rows.append((len(p.offsets), p.samples, p.rate, p.samples / p.rate if p.rate else 0.0, int(declared) if declared.isdigit() else None, p.crc_checked, p.crc_errors, p.resyncs, p.skipped, p.tags, p.offsets, p.table, p.payload))
         out = pd.DataFrame(rows, columns=PROBE.names)
         return out.astype({"vbr_frames": "Int64"})
 
     return mpeg_probe(media)
 
 
+#: Columns that a media table has beside id and media.
+MEDIA_COLUMNS = ("duration_s", "frames", "samples", "sample_rate", "seek_offsets", "table_offsets", "tags", "crc_checked", "crc_errors")
+
+
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table of id and media, the audio that holds each whole text; one row for each row of docs.
+    """A written table of id, media (the audio that holds each whole text) and MEDIA_COLUMNS; one row for each row of docs.
 
-    Null texts count as empty; repeated rows stay; columns beside id and text are not looked at.
+    Null texts count as empty; repeated rows stay; columns beside id and text
+    are not looked at.  An empty table gives an empty one.
     """
     data = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
-    return written(docs.select(F.col(id_col), store(data).alias("media")), "media")
+    made = docs.select(F.col(id_col), store(data).alias("media")).withColumn("_probe", probe(F.col("media")))
+    return written(made.select(id_col, "media", *[F.col(f"_probe.{c}") for c in MEDIA_COLUMNS]), "media")
